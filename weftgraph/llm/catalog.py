@@ -1,9 +1,12 @@
 """Queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from weftgraph.llm import binary
+from weftgraph.llm import binary, quality
 
 QUERIES = {
+    "op3_quality_rules": quality.op3_quality_rules,
     "op10_token_files": binary.op10_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_quality_rules": quality.ORACLE,
+}
