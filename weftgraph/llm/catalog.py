@@ -1,12 +1,14 @@
 """Queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from weftgraph.llm import binary, quality
+from weftgraph.llm import binary, decontam, quality
 
 QUERIES = {
+    "op5_decontaminate": decontam.op5_decontaminate,
     "op3_quality_rules": quality.op3_quality_rules,
     "op10_token_files": binary.op10_token_files,
 }
 
 ORACLES = {
+    "op5_decontaminate": decontam.ORACLE,
     "op3_quality_rules": quality.ORACLE,
 }
