@@ -1,14 +1,16 @@
 """Queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from weftgraph.llm import binary, decontam, quality
+from weftgraph.llm import binary, decontam, neardup, quality
 
 QUERIES = {
     "op5_decontaminate": decontam.op5_decontaminate,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_token_files": binary.op10_token_files,
 }
 
 ORACLES = {
+    "op9_near_duplicates": neardup.ORACLE,
     "op5_decontaminate": decontam.ORACLE,
     "op3_quality_rules": quality.ORACLE,
 }
