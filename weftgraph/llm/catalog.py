@@ -1,9 +1,10 @@
 """Queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from weftgraph.llm import binary, decontam, neardup, quality
+from weftgraph.llm import binary, decontam, html, neardup, quality
 
 QUERIES = {
     "op5_decontaminate": decontam.op5_decontaminate,
+    "op2_extract_text": html.op2_extract_text,
     "op3_quality_rules": quality.op3_quality_rules,
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_token_files": binary.op10_token_files,
