@@ -13,9 +13,13 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words in one generation of the cache; two are kept.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+#: Characters of texts whose words are looked up together.
+TOGETHER = 8_000_000
 #: Longer words are not cached.
 LONG_WORD = 64
 
@@ -48,38 +52,63 @@ class Encoder:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in got]
 
-    def _learn(self, words: set[str]) -> None:
-        """Encodes words in one call, each after a space, and cuts the ids where a token opens with that space."""
-        spaced = [w for w in words if w[0] != "\n"]
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words: those that follow a space in one call, cut where a token opens with that space.
+
+        A word that starts with a line feed, or with the mark of a text's first word, stands for itself.
+        """
+        spaced = [w for w in words if w[0] not in "\n\x01"]
         if spaced:
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(spaced)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.opens[ids])
             assert len(cuts) == len(spaced)
             buf, ends = ids.tobytes(), [*(cuts[1:] * 4).tolist(), 4 * len(ids)]
             self.young.update(zip(spaced, [buf[a:b] for a, b in zip((cuts * 4).tolist(), ends)]))
-        lines = [w for w in words if w[0] == "\n"]
-        if lines:
-            self.young.update(zip(lines, self.whole(lines)))
+        alone = [w for w in words if w[0] in "\n\x01"]
+        if alone:
+            self.young.update(zip(alone, self.whole([w.lstrip("\x01") for w in alone])))
 
-    def _join(self, words: list[str]) -> bytes:
-        """Ids of words that each follow a space, or start with their line feed."""
+    def _get(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; words are distinct."""
         got = list(map(self.young.get, words))
-        if None in got:
-            at = [i for i, g in enumerate(got) if g is None]
-            missing = {words[i] for i in at}
-            for w in missing & self.old.keys():
-                self.young[w] = self.old[w]
-                missing.discard(w)
-            self._learn(missing)
+        at = [i for i, g in enumerate(got) if g is None]
+        if at:
+            for i in at:
+                if words[i] in self.old:
+                    self.young[words[i]] = self.old[words[i]]
+            self._learn([words[i] for i in at if words[i] not in self.young])
             for i in at:
                 got[i] = self.young[words[i]]
             if len(self.young) > CACHE_WORDS:
                 self.old, self.young = {k: v for k, v in self.young.items() if len(k) <= LONG_WORD}, {}
-        return b"".join(got)
+        return got
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts whose words are split by spaces; each distinct word is looked up once."""
+        words = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        coded = words.values.dictionary_encode()
+        known = pa.array(self._get(coded.dictionary.to_pylist()), pa.binary())
+        flat = known.take(coded.indices)
+        _, ends, data = flat.buffers()
+        cuts = np.frombuffer(ends, "<i4")[words.offsets.to_numpy()].tolist()
+        view = memoryview(data) if data is not None else memoryview(b"")
+        return [bytes(view[a:b]) for a, b in zip(cuts, cuts[1:])]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; none for null or empty ones. Results equal those of whole()."""
         out: list[bytes] = [b""] * len(texts)
+        at: list[int] = []
+        ready: list[str] = []
+        chars = 0
+
+        def flush() -> None:
+            nonlocal chars
+            for i, b in zip(at, self._together(ready)):
+                out[i] = b
+            at.clear()
+            ready.clear()
+            chars = 0
+
         for i, text in enumerate(texts):
             if not text:
                 continue
@@ -87,8 +116,13 @@ class Encoder:
             if "  " in spaced or "\n " in spaced or spaced[0] == " " or spaced[-1] in " \n" or not text.replace("\n", "").isprintable():
                 out[i] = self.whole([text])[0]
                 continue
-            first, *rest = spaced.split(" ")
-            out[i] = self.whole([first])[0] + self._join(rest)
+            if ready and chars + len(text) > TOGETHER:
+                flush()
+            at.append(i)
+            ready.append("\x01" + spaced)
+            chars += len(text)
+        if ready:
+            flush()
         return out
 
 
