@@ -1,12 +1,13 @@
 """Queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from weftgraph.llm import binary, decontam, html, neardup, packing, quality
+from weftgraph.llm import binary, decontam, html, lm, neardup, packing, quality
 
 QUERIES = {
     "op1_pack": packing.op1_pack,
     "op5_decontaminate": decontam.op5_decontaminate,
     "op2_extract_text": html.op2_extract_text,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op7_gru_scores": lm.op7_gru_scores,
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_token_files": binary.op10_token_files,
 }
