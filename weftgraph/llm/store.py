@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import uuid
 from urllib.parse import unquote, urlparse
 
@@ -66,9 +65,3 @@ def read_table(uri: str):
     store, path = fs.FileSystem.from_uri(uri)
     return pq.read_table(path, filesystem=store)
 
-
-def remove(uri: str) -> None:
-    """Removes a folder, if it is there."""
-    path = local_path(uri)
-    if path is not None:
-        shutil.rmtree(path, ignore_errors=True)
