@@ -56,14 +56,21 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def make(batches):
         for batch in batches:
-            sets = shingles.shingle_sets(batch.column(1))
-            prints = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            keys = [bands(s) for s in sets if len(s)]
-            flat = np.concatenate(keys).reshape(-1, 2 * BANDS) if keys else np.zeros((0, 2 * BANDS), np.int64)
-            ends = np.concatenate([[0], np.cumsum([BANDS if len(s) else 0 for s in sets])]).astype(np.int32)
-            halves = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[:, c * BANDS : (c + 1) * BANDS].ravel())) for c in (0, 1)]
-            hi, lo = (np.array([p >> 64 for p in prints], np.uint64), np.array([p & (1 << 64) - 1 for p in prints], np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), *halves], ["doc_id", "n_shingles", "fp_hi", "fp_lo", "a", "b"])
+            at = 0
+            for texts in shingles.slices(batch.column(1), 4_000_000):
+                yield sketch(batch.column(0).slice(at, len(texts)), texts)
+                at += len(texts)
+
+    def sketch(ids, texts):
+        sets = shingles.shingle_sets(texts)
+        prints = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
+        keys = [bands(s) for s in sets if len(s)]
+        flat = np.concatenate(keys).reshape(-1, 2 * BANDS) if keys else np.zeros((0, 2 * BANDS), np.int64)
+        ends = np.concatenate([[0], np.cumsum([BANDS if len(s) else 0 for s in sets])]).astype(np.int32)
+        halves = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[:, c * BANDS : (c + 1) * BANDS].ravel())) for c in (0, 1)]
+        hi, lo = (np.array([p >> 64 for p in prints], np.uint64), np.array([p & (1 << 64) - 1 for p in prints], np.uint64))
+        sizes = pa.array([len(s) for s in sets], pa.int64())
+        return pa.RecordBatch.from_arrays([ids, sizes, pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), *halves], ["doc_id", "n_shingles", "fp_hi", "fp_lo", "a", "b"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(make, "doc_id long, n_shingles long, fp_hi long, fp_lo long, a array<long>, b array<long>")
@@ -74,13 +81,15 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
 
     def check(batches):
         for batch in batches:
-            u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left, right = shingles.shingle_sets(batch.column(2)), shingles.shingle_sets(batch.column(3))
-            keep = []
-            for a, b in zip(left, right):
-                both = len(np.intersect1d(a, b, assume_unique=True)) if len(a) and len(b) else 0
-                keep.append(bool(both) and 100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_pydict({"u": [x for x, k in zip(u, keep) if k], "v": [x for x, k in zip(v, keep) if k]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+            keep, at = [], 0
+            for left in shingles.slices(batch.column(2), 2_000_000):
+                for right in shingles.slices(batch.column(3).slice(at, len(left)), 2_000_000):
+                    for a, b in zip(shingles.shingle_sets(left.slice(len(keep) - at, len(right))), shingles.shingle_sets(right)):
+                        both = len(np.intersect1d(a, b, assume_unique=True)) if len(a) and len(b) else 0
+                        keep.append(bool(both) and 100 * both >= percent * (len(a) + len(b) - both))
+                at += len(left)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
 
     pairs = storage.materialize(pairs, "pairs")
     ids = storage.materialize(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "doc_id"), "pair-ids")

@@ -20,7 +20,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(28))
 
 
-def coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, code of each word in order, offsets of the texts).
 
     Words are the runs of characters other than space and tab to carriage return, with A-Z
@@ -32,18 +32,34 @@ def coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     offsets = lists.offsets.to_numpy().astype(np.int64)
     offsets, values = offsets - offsets[0], lists.flatten()
     coded = values.dictionary_encode()
-    words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    if "" in words:  # from white space at an end
-        full = codes != words.index("")
+    words, codes = coded.dictionary, coded.indices.to_numpy()
+    empty = pc.index(words, "").as_py()
+    if empty >= 0:  # from white space at an end
+        full = codes != empty
         offsets = np.concatenate([[0], np.cumsum(full)])[offsets]
         codes = codes[full]
     return words, codes, offsets
 
 
-def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+def slices(texts: pa.Array, limit: int) -> list[pa.Array]:
+    """The texts in parts of up to so many bytes (a longer text is a part by itself), to bound a worker's memory."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, lo = [], 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + limit, side="right")))
+        out.append(texts.slice(lo, hi - lo))
+        lo = hi
+    return out
+
+
+def shingle_sets(texts: pa.Array, limit: int = 4_000_000) -> list[np.ndarray]:
     """Each text's set of shingles: sorted distinct hashes of five successive words, of all its words if it has fewer, empty without words."""
+    return [x for part in slices(texts, limit) for x in _sets(part)]
+
+
+def _sets(texts: pa.Array) -> list[np.ndarray]:
     words, codes, offsets = coded_words(texts)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))[codes]
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))[codes]
     n = len(hashes)
     rolled = np.zeros(0, np.uint64)
     if n >= SHINGLE:
