@@ -12,8 +12,17 @@ Rows with equal sets are one class from the start. Two passes link classes:
    the member that shares most buckets. Verified links give first components, which hold
    nearly every group of copies, so that no group's pairs are ever listed.
 2. All BANDS x BANDS tables. Bands whose classes lie in one component are dropped before
-   the pairs of bands are formed, and so are tables; what is left are pairs of classes of
-   different components, each of which is verified.
+   the pairs of bands are formed, and so are tables. Each class that is left is compared
+   with the hub that most of those it shares tables with are near to; then all pairs of
+   different components that share a table are verified, but for those that can't be
+   similar by what is known of the hub.
+
+Around one hub, that second pass leaves out what can't be similar. Of two sets x and y,
+the common part lies in the hub or in both their additions to it. The first is at most
+min(|x & hub|, |y & hub|), both of which are known; if that is too little, the additions
+must share a shingle, and such pairs come from a join on additions, rarest first, cut to
+the prefix that must hold a shared one. So a thousand copies of one original whose own
+changes keep them apart cost their changes, and not their pairs.
 
 Every candidate is verified on the full shingle sets. A class is a node under its least
 doc_id, so rows that share a doc_id are one node.
@@ -24,13 +33,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph import storage
-from weftgraph.llm import shingles
+from weftgraph.llm import memory, shingles
 from weftgraph.operators.components import connected_components
 
+#: Percent of similarity from which a hub's part in a set is told apart from the rest.
+NEAR_HUB = 30
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 BANDS, ROWS = 20, 3
@@ -54,6 +65,7 @@ def bands(full: np.ndarray, block: int = 2048) -> np.ndarray:
 def sketches(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, fp_hi, fp_lo (the set's fingerprint), a, b (band keys; empty for an empty set)."""
 
+    @memory.lean
     def make(batches):
         for batch in batches:
             at = 0
@@ -76,20 +88,30 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(make, "doc_id long, n_shingles long, fp_hi long, fp_lo long, a array<long>, b array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (u, v) of doc_ids whose full shingle sets are similar enough."""
+def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (u, v) of doc_ids with both (common shingles), nu, nv (their shingles), and what u adds to v.
 
+    adds is empty below a similarity of NEAR_HUB percent.
+    """
+
+    @memory.lean
     def check(batches):
         for batch in batches:
-            keep, at = [], 0
+            at = 0
             for left in shingles.slices(batch.column(2), 2_000_000):
                 for right in shingles.slices(batch.column(3).slice(at, len(left)), 2_000_000):
-                    for a, b in zip(shingles.shingle_sets(left.slice(len(keep) - at, len(right))), shingles.shingle_sets(right)):
-                        both = len(np.intersect1d(a, b, assume_unique=True)) if len(a) and len(b) else 0
-                        keep.append(bool(both) and 100 * both >= percent * (len(a) + len(b) - both))
-                at += len(left)
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
+                    yield compare(batch.slice(at, len(right)), right)
+                    at += len(right)
+
+    def compare(batch, right):
+        rows = []
+        for a, b in zip(shingles.shingle_sets(batch.column(2)), shingles.shingle_sets(right)):
+            adds = np.setdiff1d(a, b, assume_unique=True)
+            both = len(a) - len(adds)
+            near = both and 100 * both >= NEAR_HUB * (len(a) + len(b) - both)
+            rows.append((both, len(a), len(b), adds.view(np.int64) if near else adds[:0].view(np.int64)))
+        both, nu, nv, adds = map(list, zip(*rows))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (both, nu, nv)), pa.array(adds, pa.list_(pa.int64()))], ["u", "v", "both", "nu", "nv", "adds"])
 
     pairs = storage.materialize(pairs, "pairs")
     ids = storage.materialize(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "doc_id"), "pair-ids")
@@ -98,7 +120,16 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
     one = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu"))
     two = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv"))
     both = pairs.join(one, "u").join(two, "v").select("u", "v", "tu", "tv")
-    return both.mapInArrow(check, "u long, v long")
+    return both.mapInArrow(check, "u long, v long, both long, nu long, nv long, adds array<long>")
+
+
+def _similar(percent: int = PERCENT):
+    """Whether compared sets are linked."""
+    return (F.col("both") > 0) & (100 * F.col("both") >= percent * (F.col("nu") + F.col("nv") - F.col("both")))
+
+
+def _links(rows: DataFrame) -> DataFrame:
+    return rows.where(_similar()).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _close(n: str, m: str, percent: int = PERCENT):
@@ -107,7 +138,7 @@ def _close(n: str, m: str, percent: int = PERCENT):
 
 
 def _through_hubs(sets: DataFrame) -> DataFrame:
-    """Candidate pairs (u, v), u < v: each class with the hub of each of its diagonal buckets."""
+    """Candidate pairs (u, v): each class u with the hub v of each of its diagonal buckets."""
     keys = F.transform(F.arrays_zip("a", "b"), lambda x: F.xxhash64(x["a"], x["b"]))
     rows = sets.select("rep", "n", F.explode(keys).alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
@@ -116,24 +147,73 @@ def _through_hubs(sets: DataFrame) -> DataFrame:
     hub = rows.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", -F.col("rep"), "n")).alias("h"))
     hub = hub.select("key", (-F.col("h.col2")).alias("hub"), F.col("h.n").alias("hub_n"))
     met = rows.join(hub, "key").where((F.col("rep") != F.col("hub")) & _close("n", "hub_n"))
-    return met.select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
-
-
-def _across(sets: DataFrame, tried: DataFrame) -> DataFrame:
-    """Candidate pairs (u, v), u < v, of sets (rep, n, comp, a, b) that meet in some table, lie in different components and weren't tried."""
+    return met.select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
+
+
+def _main_hubs(tried: DataFrame) -> DataFrame:
+    """(rep, main, i, adds): each compared class's hub, the one with most comparisons, what it has of it, and what it adds; hubs are near themselves."""
+    popular = tried.groupBy("v").agg(F.count("*").alias("popular"))
+    once = tried.groupBy("u", "v").agg(F.count("*").alias("c")).where("c = 1").select("u", "v")  # an id with two texts has no hub
+    near = tried.join(once, ["u", "v"], "left_semi").where(100 * F.col("both") >= NEAR_HUB * (F.col("nu") + F.col("nv") - F.col("both")))
+    near = near.select(F.col("u").alias("rep"), F.col("v").alias("main"), F.col("both").alias("i"), "adds")
+    own = tried.groupBy("v").agg(F.max("nv").alias("i"), F.min("nv").alias("j")).where("i = j").select(F.col("v").alias("rep"), F.col("v").alias("main"), "i", F.array().cast("array<long>").alias("adds"))
+    every = near.union(own).join(popular.withColumnRenamed("v", "main"), "main")
+    best = every.groupBy("rep").agg(F.max(F.struct("popular", -F.col("main"))).alias("b")).select("rep", (-F.col("b.col2")).alias("main"))
+    return every.join(best, ["rep", "main"], "left_semi").select("rep", "main", "i", "adds")
+
+
+def _sharing_additions(placed: DataFrame, mains: DataFrame) -> DataFrame:
+    """Candidate pairs of classes with one main hub that share one of the rarest shingles they add to it."""
+    rows = placed.select("rep", "n", "comp").join(mains, "rep").where(F.size("adds") > 0)
+    open_ = rows.groupBy("main").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("main")
+    rows = rows.join(open_, "main", "left_semi")
+    # a similar set shares at least so many additions: PERCENT of the set lie in the other, and i at most in the hub
+    needed = F.greatest(F.lit(1), F.ceil(F.col("n") * PERCENT / 100) - F.col("i"))
+    spread = rows.select("main", "rep", "n", "comp", (F.size("adds") - needed + 1).alias("prefix"), F.explode("adds").alias("key")).where("prefix > 0")
+    count = spread.groupBy("main", "key").agg(F.count("*").alias("c"))
+    rank = Window.partitionBy("main", "rep").orderBy("c", "key")  # one class's additions
+    first = spread.join(count, ["main", "key"]).withColumn("at", F.row_number().over(rank)).where("at <= prefix AND c > 1").select("main", "key", "rep", "n", "comp")
+    first = storage.materialize(first, "additions")
+    other = first.select("main", "key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+    met = first.join(other, ["main", "key"]).where((F.col("comp") < F.col("comp2")) & _close("n", "n2"))
+    return met.select(F.least("rep", "rep2").alias("u"), F.greatest("rep", "rep2").alias("v")).distinct()
+
+
+def _tables(sets: DataFrame) -> DataFrame:
+    """(key, rep) of all tables, for sets (rep, comp, a, b); bands, and then tables, whose sets lie in one component are left out."""
 
     def crossing(rows: DataFrame) -> DataFrame:
         spans = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         return rows.join(spans, "key", "left_semi")
 
-    one = crossing(sets.select("rep", "n", "comp", F.explode("a").alias("key"))).withColumnRenamed("key", "ka")
-    two = crossing(sets.select("rep", "comp", F.explode("b").alias("key"))).select("rep", F.col("key").alias("kb"))
-    tables = one.join(two, "rep").select("rep", "n", "comp", F.xxhash64("ka", "kb").alias("key"))
-    tables = storage.materialize(crossing(storage.materialize(tables, "bands")), "tables")
-    other = tables.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    met = tables.join(other, "key").where((F.col("comp") < F.col("comp2")) & _close("n", "n2"))
-    pairs = met.select(F.least("rep", "rep2").alias("u"), F.greatest("rep", "rep2").alias("v")).distinct()
-    return pairs.join(tried, ["u", "v"], "left_anti")
+    one = crossing(sets.select("rep", "comp", F.explode("a").alias("key"))).withColumnRenamed("key", "ka")
+    two = crossing(sets.select("rep", F.explode("b").alias("key"), "comp")).select("rep", F.col("key").alias("kb"))
+    tables = one.join(two, "rep").select("rep", "comp", F.xxhash64("ka", "kb").alias("key"))
+    return storage.materialize(crossing(storage.materialize(tables, "bands")).select("key", "rep"), "tables")
+
+
+def _to_common_hubs(tables: DataFrame, mains: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v): each class u with v, the main hub of most classes among those it shares tables with."""
+    sizes = mains.groupBy("main").agg(F.count("*").alias("size"))
+    led = tables.join(mains.select("rep", "main").join(sizes, "main"), "rep")
+    lead = led.groupBy("key").agg(F.max(F.struct("size", -F.col("main"))).alias("h"))
+    best = tables.join(lead, "key").groupBy("rep").agg(F.max("h").alias("h")).select(F.col("rep").alias("u"), (-F.col("h.col2")).alias("v"))
+    return best.where("u <> v")
+
+
+def _across(tables: DataFrame, placed: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v), u < v, of sets (rep, n, comp, main, i) that meet in some table and lie in different components.
+
+    Of one main hub only pairs that may be similar by their parts of the hub alone; see _sharing_additions for the others.
+    """
+    rows = tables.join(placed.select("rep", "n", "comp", "main", "i"), "rep")
+    spans = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    rows = storage.materialize(rows.join(spans, "key", "left_semi"), "placed-tables")
+    other = rows.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "comp", "main", "i")])
+    apart = ~F.coalesce(F.col("main") == F.col("main2"), F.lit(False))
+    within = (100 + PERCENT) * F.least("i", "i2") >= PERCENT * (F.col("n") + F.col("n2"))
+    met = rows.join(other, "key").where((F.col("comp") < F.col("comp2")) & _close("n", "n2") & (apart | within))
+    return met.select(F.least("rep", "rep2").alias("u"), F.greatest("rep", "rep2").alias("v")).distinct()
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -143,11 +223,21 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = storage.materialize(full.groupBy("fp_hi", "fp_lo").agg(F.min("doc_id").alias("rep")), "classes")
     same = full.join(reps.withColumnsRenamed({"fp_hi": "hi_", "fp_lo": "lo_"}), (F.col("fp_hi") == F.col("hi_")) & (F.col("fp_lo") == F.col("lo_")) & (F.col("doc_id") == F.col("rep")), "inner")
     sets = storage.materialize(same.dropDuplicates(["rep", "fp_hi", "fp_lo"]).select("rep", F.col("n_shingles").alias("n"), "a", "b"), "sets")
-    tried = storage.materialize(_through_hubs(sets), "hub-pairs")
-    links = storage.materialize(verified(tried, docs), "links")
-    comps = connected_components(links).select(F.col("id").alias("rep"), "component")
-    placed = storage.materialize(sets.join(comps, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"), "placed")
-    more = storage.materialize(verified(_across(placed, tried), docs), "more-links")
+    tried = storage.materialize(compared(_through_hubs(sets), docs), "tried")
+
+    def place(links: DataFrame) -> DataFrame:
+        comps = connected_components(links).select(F.col("id").alias("rep"), "component")
+        return storage.materialize(sets.join(comps, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"), "placed")
+
+    tables = _tables(place(_links(tried)))
+    new = _to_common_hubs(tables, storage.materialize(_main_hubs(tried), "mains")).join(tried, ["u", "v"], "left_anti")
+    tried = storage.materialize(tried.union(compared(new, docs)), "tried")
+    links = storage.materialize(_links(tried), "links")
+    mains = storage.materialize(_main_hubs(tried), "mains")
+    placed = storage.materialize(place(links).drop("a", "b").join(mains.select("rep", "main", "i"), "rep", "left"), "placed")
+    rest = storage.materialize(_across(tables, placed).union(_sharing_additions(placed, mains)).distinct(), "rest")
+    done = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    more = storage.materialize(_links(compared(rest.join(done, ["u", "v"], "left_anti"), docs)), "more-links")
     comps = connected_components(links.union(more)).select(F.col("id").alias("rep"), "component")
     nodes = reps.join(comps, "rep", "left").select("fp_hi", "fp_lo", F.coalesce("component", "rep").alias("component_id"))
     return made.select("doc_id", "n_shingles", "fp_hi", "fp_lo"), storage.materialize(nodes, "nodes")
