@@ -16,12 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words in one generation of the cache; two are kept.
-CACHE_WORDS = 300_000
+#: Words that the cache holds before it goes back to those used last.
+CACHE_WORDS = 1_000_000
 #: Characters of texts whose words are looked up together.
 TOGETHER = 8_000_000
-#: Longer words are not cached.
-LONG_WORD = 64
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -36,59 +34,64 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # the same model for words of letters alone, which need no cuts but at spaces
+        self.lettered = Tokenizer.from_file(path)
+        self.lettered.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
             self.opens[i] = token.startswith("Ġ")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words, self.known = pa.array([], pa.string()), pa.array([], pa.binary())
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Every text encoded by one call of the library."""
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in got]
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes words: those that follow a space in one call, cut where a token opens with that space.
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of words: those that follow a space in one call, cut where a token opens with that space.
 
         A word that starts with a line feed, or with the mark of a text's first word, stands for itself.
         """
-        spaced = [w for w in words if w[0] not in "\n\x01"]
-        if spaced:
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(spaced)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(self.opens[ids])
-            assert len(cuts) == len(spaced)
-            buf, ends = ids.tobytes(), [*(cuts[1:] * 4).tolist(), 4 * len(ids)]
-            self.young.update(zip(spaced, [buf[a:b] for a, b in zip((cuts * 4).tolist(), ends)]))
-        alone = [w for w in words if w[0] in "\n\x01"]
-        if alone:
-            self.young.update(zip(alone, self.whole([w.lstrip("\x01") for w in alone])))
-
-    def _get(self, words: list[str]) -> list[bytes]:
-        """The ids of each word; words are distinct."""
-        got = list(map(self.young.get, words))
-        at = [i for i, g in enumerate(got) if g is None]
-        if at:
-            for i in at:
-                if words[i] in self.old:
-                    self.young[words[i]] = self.old[words[i]]
-            self._learn([words[i] for i in at if words[i] not in self.young])
-            for i in at:
-                got[i] = self.young[words[i]]
-            if len(self.young) > CACHE_WORDS:
-                self.old, self.young = {k: v for k, v in self.young.items() if len(k) <= LONG_WORD}, {}
-        return got
+        out: list[bytes] = [b""] * len(words)
+        plain = [i for i, w in enumerate(words) if w[0] not in "\n\x01"]
+        letters = [i for i in plain if words[i].isalpha()]
+        for tokenizer, some in ((self.lettered, letters), (self.tokenizer, sorted(set(plain) - set(letters)))):
+            if some:
+                ids = np.array(tokenizer.encode_batch_fast([" " + " ".join([words[i] for i in some])], add_special_tokens=False)[0].ids, dtype="<u4")
+                cuts = np.flatnonzero(self.opens[ids])
+                assert len(cuts) == len(some)
+                buf, at = ids.tobytes(), [*(cuts * 4).tolist(), 4 * len(ids)]
+                for i, a, b in zip(some, at, at[1:]):
+                    out[i] = buf[a:b]
+        alone = [i for i, w in enumerate(words) if w[0] in "\n\x01"]
+        for i, b in zip(alone, self.whole([words[i].lstrip("\x01") for i in alone]) if alone else ()):
+            out[i] = b
+        return out
+
+    def _get(self, words: pa.Array) -> pa.Array:
+        """The ids of each of these distinct words."""
+        at = pc.index_in(words, value_set=self.words)
+        fresh = pc.is_null(at)
+        missing = words.filter(fresh)
+        ids = pa.concat_arrays([self.known, pa.array(self._learn(missing.to_pylist()), pa.binary())])
+        places = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        places[fresh.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(missing))
+        out = ids.take(pa.array(places))
+        self.words, self.known = pa.concat_arrays([self.words, missing]), ids
+        if len(self.words) > CACHE_WORDS:
+            self.words, self.known = words, out
+        return out
 
     def _together(self, texts: list[str]) -> list[bytes]:
         """Ids of texts whose words are split by spaces; each distinct word is looked up once."""
         words = pc.split_pattern(pa.array(texts, pa.string()), " ")
         coded = words.values.dictionary_encode()
-        known = pa.array(self._get(coded.dictionary.to_pylist()), pa.binary())
-        flat = known.take(coded.indices)
+        flat = self._get(coded.dictionary).take(coded.indices)
         _, ends, data = flat.buffers()
         cuts = np.frombuffer(ends, "<i4")[words.offsets.to_numpy()].tolist()
         view = memoryview(data) if data is not None else memoryview(b"")
