@@ -1,6 +1,6 @@
 """Lexical retrieval packing: a sharded BM25 index chooses what fills a seed document's window.
 
-Documents are spread over shards of a bounded size. A shard indexes its documents (terms
+Documents are spread over shards of a bounded size (a larger one is packed in parts). A shard indexes its documents (terms
 are token ids) and packs them by itself: a seed document opens a window; where its ids
 end before the window does, the best unused neighbours by BM25, with the seed's rarest
 terms as the query, follow until the window is full. What the last neighbour has left
@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph import storage
-from weftgraph.llm import tokens
+from weftgraph.llm import memory, shingles, tokens
 
 WINDOW = 1024
 #: Id that ends a document.
 END_ID = 0
-#: Characters of a shard, on average; a shard is held in one task's memory.
-SHARD_CHARS = 4_000_000
+#: Documents of a shard, on average, and ids that are packed together; a part of so many is held in a task's memory.
+SHARD_DOCS, PART_IDS = 1200, 4_000_000
 #: Terms of a query, neighbours that it returns at first, and BM25's constants.
 QUERY_TERMS, NEIGHBOURS = 10, 16
 K1, B = 1.2, 0.75
@@ -135,7 +135,7 @@ def _cut_last(pieces: list, fill: int, sequence: int) -> list:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, shard_chars: int = SHARD_CHARS, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, shard_docs: int = SHARD_DOCS, with_ids: bool = True) -> DataFrame:
     """Pieces of all docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (long), and ids (binary) unless they are left out.
 
     ids are little-endian unsigned 32-bit; ids_crc32 is their unsigned crc32. A null text
@@ -143,38 +143,44 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     shard. Rows without a doc_id are packed too; repeated rows each are.
     An empty table gives no pieces.
     """
-    size = docs.agg(F.sum(F.length("text")).alias("c"), F.count("*").alias("n")).first()
-    shards = max(1, -(-((size["c"] or 0) + size["n"]) // shard_chars))
+    shards = max(1, -(-docs.count() // shard_docs))
 
+    @memory.lean
     def encode(batches):
         enc = tokens.encoder(tokenizer)
         kind = "<u2" if len(enc.opens) <= 1 << 16 else "<u4"
         for batch in batches:
-            ids = [np.frombuffer(b, "<u4").astype(kind).tobytes() for b in enc.ids(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([kind] * len(ids)), pa.array(ids, pa.binary()), batch.column(2)], ["doc_id", "kind", "ids", "shard"])
-
+            at = 0
+            for texts in shingles.slices(batch.column(1), tokens.TOGETHER):
+                ids = [np.frombuffer(b, "<u4").astype(kind).tobytes() for b in enc.ids(texts.to_pylist())]
+                n = len(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([kind] * n), pa.array(ids, pa.binary()), batch.column(2).slice(at, n)], ["doc_id", "kind", "ids", "shard"])
+                at += n
+
+    @memory.lean
     def pack_shards(batches):
-        shard, keys, held = None, [], []
+        shard, keys, held, size, done = None, [], [], 0, 0
         for batch in batches:
             for s, k, kind, ids in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if s != shard and held:
-                    yield from packed(shard, keys, held)
-                    keys, held = [], []
-                shard = s
+                if held and (s != shard or size >= PART_IDS):
+                    yield from packed(rows := pack_shard(held, window), shard, done, keys, held)
+                    keys, held, size, done = [], [], 0, done + rows[-1][3] + 1
+                if s != shard:
+                    shard, done = s, 0
                 keys.append(k)
                 held.append(np.append(np.frombuffer(ids, kind).astype("<u4"), np.uint32(end_id)))
+                size += len(held[-1])
         if held:
-            yield from packed(shard, keys, held)
+            yield from packed(pack_shard(held, window), shard, done, keys, held)
 
-    def packed(shard, keys, held):
-        rows = pack_shard(held, window)
+    def packed(rows, shard, done, keys, held):
         for lo in range(0, len(rows), 4096):
             part = rows[lo : lo + 4096]
-            ids = [held[d][s : s + n].astype("<u4").tobytes() for d, s, n, _, _ in part]
+            ids = [held[d][s : s + n].tobytes() for d, s, n, _, _ in part]
             doc, start, length, sequence, offset = map(list, zip(*part))
             columns = {
                 "doc_id": pa.array([keys[d] for d in doc], pa.int64()), "start": start, "length": length, "ids_crc32": [zlib.crc32(b) for b in ids],
-                "doc_tokens": [len(held[d]) for d in doc], "sequence_id": [(shard << 32) + q for q in sequence], "offset": offset,
+                "doc_tokens": [len(held[d]) for d in doc], "sequence_id": [(shard << 32) + done + q for q in sequence], "offset": offset,
             }
             yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(ids, pa.binary())} if with_ids else {}))
 
