@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph import storage
-from weftgraph.llm import store, tokens
+from weftgraph.llm import memory, shingles, store, tokens
 
 #: Id that ends a document.
 END_ID = 2
@@ -37,6 +37,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     read. An empty table gives an empty manifest.
     """
 
+    @memory.lean
     def write(batches):
         from pyspark import TaskContext
 
@@ -52,10 +53,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                 keys = batch.column(0)
                 nulls += keys.null_count
                 ids.append(keys.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
-                got = enc.ids(batch.column(1).to_pylist())
-                lengths.append(np.fromiter((len(b) // 4 + 1 for b in got), "<i8", len(got)))
-                for b in got:
-                    f.write(np.frombuffer(b + end, "<u4").astype(kind).tobytes())
+                for texts in shingles.slices(batch.column(1), tokens.TOGETHER):
+                    got = enc.ids(texts.to_pylist())
+                    lengths.append(np.fromiter((len(b) // 4 + 1 for b in got), "<i8", len(got)))
+                    for b in got:
+                        f.write(np.frombuffer(b + end, "<u4").astype(kind).tobytes())
 
         name = f"{folder}/part-{part:05d}"
         store.put(f"{name}.bin", fill)
