@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph import storage
-from weftgraph.llm import shingles
+from weftgraph.llm import memory, shingles
 
 HEAD, INPUTS, DYNAMIC, CLASS, BINS = 131_072, 4096, 1024, 32, 12
 HIDDEN, LANES, STEPS, ROUNDS, RATE = 12, 512, 10, 4, 0.03
 #: Bytes of texts that a worker handles at a time.
-PART = 16_000_000
+PART = 10_000_000
 #: Bytes of the longest word that may be one of the first HEAD, so that their size is bounded.
 LONGEST = 64
 #: Logits are kept under this, so that their exponentials stay finite.
@@ -271,6 +271,7 @@ def held_out(doc_id) -> object:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over all docs, with a count for the end of each."""
 
+    @memory.lean
     def count(batches):
         for texts in (x for batch in batches for x in shingles.slices(batch.column(0), PART)):
             words, codes, offsets = shingles.coded_words(texts)
@@ -285,7 +286,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The vocabulary of a materialized table of counts; the first words are at most HEAD, and occur more than once."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    first = counts.where((F.octet_length("word") <= LONGEST) & (F.col("c") > 1)).orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    may = counts.where((F.octet_length("word") <= LONGEST) & (F.col("c") > 1)).withColumn("bin", F.floor(F.log2("c") * 16).cast("int"))
+    # the least count that at most HEAD words reach, by bins of a sixteenth of an octave: a thousand rows at most
+    least, size = 1 << 30, 0
+    for r in sorted(may.groupBy("bin").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["bin"]):
+        size += r["n"]
+        if size > HEAD:
+            break
+        least = r["bin"]
+    first = sorted(may.where(F.col("bin") >= least).select("word", "c").collect(), key=lambda r: (-r["c"], r["word"]))  # HEAD rows at most
     return Vocabulary([r["word"] for r in first], [r["c"] for r in first], total["n"], total["v"])
 
 
@@ -311,6 +320,7 @@ def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
     for k in range(rounds):
         now = spark.sparkContext.broadcast(model.blob())
 
+        @memory.lean
         def fit(batches, now=now):
             own, seen = None, 0
             for texts in (x for batch in batches for x in shingles.slices(batch.column(0), PART)):
@@ -340,6 +350,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     names = ["row", "doc_id", "n_tokens", "n_other", "head_log", "model_log", "word", "times"]
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_other", pa.int64()), ("head_log", pa.float64()), ("model_log", pa.float64()), ("word", pa.string()), ("times", pa.int64())])
 
+    @memory.lean
     def run(batches):
         from pyspark import TaskContext
 
