@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tests import brute
 from weftgraph.operators import counting, fsm, graph, keyword, matcher, motif, query, subsets, triangles
 from weftgraph.operators.components import connected_components
+from weftgraph.plans import catalog
 from weftgraph.plans.pattern import MOTIFS, NAMED, Pattern, clique, cycle, path, shapes_of_edges, star
 from weftgraph.sources import csr, graphs
 
@@ -186,3 +187,21 @@ def test_files(spark, edges, vertices, tmp_path):
     assert sorted(map(tuple, csr.read_edge_list(spark, f"{tmp_path}/text").collect())) == sorted(map(tuple, edges.collect()))
     (tmp_path / "e.txt").write_text("# comment\n1\t2\n 2   3 \n% other\n\n3 3\n")
     assert sorted(map(tuple, csr.read_edge_list(spark, f"{tmp_path}/e.txt", directed=True).collect())) == [(1, 2), (2, 3)]
+
+
+def test_whole_graph_queries(spark, tmp_path):
+    """Edges and vertices of parts of any size count: half of the parts here are large."""
+    orders = [(o, p) for o, (u, v) in enumerate(HALF) for p in (u, v)]
+    spark.createDataFrame(orders, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, 50 if p % 2 else 1, f"t{LABELS[p]}") for p in range(9)], "p_partkey long, p_size int, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path))
+    cores = brute.cores(HALF)
+    assert {r["id"]: r["core"] for r in run("kcore").collect()} == cores
+    assert value(run("two_core_size")) == sum(c > 1 for c in cores.values())
+    used = brute.maps(HALF, catalog.SQUARE, {p: LABELS[p] for p in range(9)})
+    assert {r["qv"]: r["used"] for r in run("query_candidate_stats").collect()} == {q: len({m[q] for m in used}) for q in range(4)}
+    assert sorted(tuple(r) for r in run("co_query_labeled_square").collect()) == sorted(used)
+    assert len(run("co_connected_components").collect()) == len(brute.neighbours(HALF))
+    assert value(run("co_sub_house")) == brute.count(HALF, NAMED["house"]) and value(run("co_clique4_count")) == brute.count(HALF, clique(4))
+    assert {r["pattern"]: r["cnt"] for r in run("co_motif4").collect()} == {n: brute.count(HALF, NAMED[n], induced=True) for n in MOTIFS[4]}
+    assert run("co_range_segments").count() == 2 * len(HALF)
