@@ -114,6 +114,22 @@ def test_neighbours_follow_the_seed():
     assert [round(score[j], 3) for j in got] == [round(score[j], 3) for j in want[:5]]
 
 
+def test_shards_hold_related_documents(spark):
+    """Windows are filled with documents of one topic, though shards are small, and weights are those of all documents."""
+    rng = np.random.default_rng(1)
+    topic = [f"zebra{chr(97 + i)} quartz{chr(97 + i)} violet{chr(97 + i)} " * 5 for i in range(10)]
+    rows = [(i, topic[i % 10] + " ".join(rng.choice(["the", "of", "and", "to", "in", "is"], 12))) for i in range(200)]
+    # two topics differ in a letter, so a document's rarest tokens may be shared; most neighbours are of the same topic
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tokens.tokenizer_path(), 256, shard_docs=20).collect()
+    windows = defaultdict(set)
+    for p in pieces:
+        windows[p["sequence_id"]].add(p["doc_id"] % 10)
+    assert np.mean([len(w) for w in windows.values()]) < 2
+    docs = [np.array(x, np.uint32) for x in ([1, 2, 3], [1, 2], [1, 9])]
+    whole, part = packing.Index(docs), packing.Index(docs[:2], packing.Statistics(3, 7, np.bincount(np.concatenate(docs))))
+    assert np.allclose(part.weight, whole.weight[: len(part.weight)])
+
+
 # quality rules
 
 

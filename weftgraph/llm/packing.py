@@ -1,7 +1,9 @@
 """Lexical retrieval packing: a sharded BM25 index chooses what fills a seed document's window.
 
-Documents are spread over shards of a bounded size (a larger one is packed in parts). A shard indexes its documents (terms
-are token ids) and packs them by itself: a seed document opens a window; where its ids
+Document frequencies, the number of documents and their mean length are those of the whole table. Documents are placed in
+shards of a bounded size (a larger one is packed in parts) by their two terms of most weight, so that those with a
+rare term in common are mostly together. A shard indexes its documents (terms
+are token ids) and packs them by itself, with neighbours of the shard only: a seed document opens a window; where its ids
 end before the window does, the best unused neighbours by BM25, with the seed's rarest
 terms as the query, follow until the window is full. What the last neighbour has left
 opens the next window, with that neighbour as the seed. So every window but a shard's
@@ -29,12 +31,33 @@ SHARD_DOCS, PART_IDS = 1200, 4_000_000
 #: Terms of a query, neighbours that it returns at first, and BM25's constants.
 QUERY_TERMS, NEIGHBOURS = 10, 16
 K1, B = 1.2, 0.75
+#: Share of a large group with one first term over which documents with one second term are spread.
+SPREAD = 0.25
+
+
+class Statistics:
+    """Number of documents, their mean length and the documents of each term."""
+
+    def __init__(self, n: int, length: int, df: np.ndarray):
+        self.n, self.mean, self.df = n, max(1.0, length / n if n else 1.0), df
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+    def norm(self, lengths) -> np.ndarray:
+        return np.asarray(K1 * (1 - B + B * lengths / self.mean)).astype(np.float32)
+
+    def first_terms(self, doc: np.ndarray) -> tuple[int, int]:
+        """The document's two terms of most weight among those that others have; -1 where there is none."""
+        term, tf = np.unique(doc, return_counts=True)
+        weight = np.where(self.df[term] > 1, self.idf[term] * tf * np.float32(K1 + 1) / (tf + self.norm(len(doc))), 0)
+        best = np.lexsort((term, -weight))[:2]
+        found = [int(t) if w > 0 else -1 for t, w in zip(term[best], weight[best])]
+        return (*found, -1, -1)[:2]
 
 
 class Index:
-    """BM25 over a shard's documents, given as arrays of term ids."""
+    """BM25 over a shard's documents, given as arrays of term ids, with the statistics of all documents (the shard's own if none are given)."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], stats: Statistics | None = None):
         self.n = n = len(docs)
         lengths = np.fromiter(map(len, docs), np.int64, n)
         flat = np.concatenate([np.zeros(0, np.uint32), *docs])
@@ -50,9 +73,8 @@ class Index:
         self.own = np.searchsorted(doc, np.arange(n + 1))
         self.df = np.bincount(self.term, minlength=1)
         self.start = np.cumsum(self.df) - self.df
-        idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5)).astype(np.float32)
-        norm = (K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if n else 1.0))).astype(np.float32)
-        self.weight = idf[self.term] * tf * np.float32(K1 + 1) / (tf + norm[doc])
+        stats = stats or Statistics(n, int(lengths.sum()), self.df)
+        self.weight = stats.idf[self.term] * tf * np.float32(K1 + 1) / (tf + stats.norm(lengths)[doc])
         # postings by term
         order = np.argsort(self.term, kind="stable")
         self.posted, self.post_weight = doc[order], self.weight[order]
@@ -79,10 +101,10 @@ class Index:
         return found[np.lexsort((found, -score[found]))]
 
 
-def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], window: int = WINDOW, stats: Statistics | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of a shard whose documents aren't empty."""
     n = len(docs)
-    index, unused = Index(docs), np.ones(n, bool)
+    index, unused = Index(docs, stats), np.ones(n, bool)
     pieces, sequence, fill, free = [], 0, 0, 0
     seed, queue = -1, []
     for _ in range(n):
@@ -143,7 +165,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     shard. Rows without a doc_id are packed too; repeated rows each are.
     An empty table gives no pieces.
     """
-    shards = max(1, -(-docs.count() // shard_docs))
+    spark = docs.sparkSession
 
     @memory.lean
     def encode(batches):
@@ -154,24 +176,45 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             for texts in shingles.slices(batch.column(1), tokens.TOGETHER):
                 ids = [np.frombuffer(b, "<u4").astype(kind).tobytes() for b in enc.ids(texts.to_pylist())]
                 n = len(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([kind] * n), pa.array(ids, pa.binary()), batch.column(2).slice(at, n)], ["doc_id", "kind", "ids", "shard"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([kind] * n), pa.array(ids, pa.binary()), batch.column(2).slice(at, n)], ["doc_id", "kind", "ids", "spot"])
                 at += n
 
+    def terms(kind, ids):
+        return np.append(np.frombuffer(ids, kind).astype("<u4"), np.uint32(end_id))
+
+    @memory.lean
+    def count(batches):
+        df, n, length = np.zeros(max(len(tokens.encoder(tokenizer).opens), end_id + 1), np.int64), 0, 0
+        for batch in batches:
+            for kind, ids in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                doc = terms(kind, ids)
+                df[np.unique(doc)] += 1
+                n, length = n + 1, length + len(doc)
+        there = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"term": [-1, -2, *there.tolist()], "c": [n, length, *df[there].tolist()]})
+
+    @memory.lean
+    def key(batches):
+        for batch in batches:
+            first = [shared.value.first_terms(terms(kind, ids)) for kind, ids in zip(*(batch.column(i).to_pylist() for i in (1, 2)))]
+            one, two = (pa.array([f[i] for f in first], pa.int32()) for i in range(2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, one, two], ["doc_id", "kind", "ids", "spot", "one", "two"])
+
     @memory.lean
     def pack_shards(batches):
         shard, keys, held, size, done = None, [], [], 0, 0
         for batch in batches:
             for s, k, kind, ids in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if held and (s != shard or size >= PART_IDS):
-                    yield from packed(rows := pack_shard(held, window), shard, done, keys, held)
+                    yield from packed(rows := pack_shard(held, window, shared.value), shard, done, keys, held)
                     keys, held, size, done = [], [], 0, done + rows[-1][3] + 1
                 if s != shard:
                     shard, done = s, 0
                 keys.append(k)
-                held.append(np.append(np.frombuffer(ids, kind).astype("<u4"), np.uint32(end_id)))
+                held.append(terms(kind, ids))
                 size += len(held[-1])
         if held:
-            yield from packed(pack_shard(held, window), shard, done, keys, held)
+            yield from packed(pack_shard(held, window, shared.value), shard, done, keys, held)
 
     def packed(rows, shard, done, keys, held):
         for lo in range(0, len(rows), 4096):
@@ -184,11 +227,27 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             }
             yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(ids, pa.binary())} if with_ids else {}))
 
-    # a hash of id and text spreads rows over shards, whatever their ids or sources
-    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("shard", shard)
-    coded = rows.mapInArrow(encode, "doc_id long, kind string, ids binary, shard int")
-    grouped = coded.repartition("shard").sortWithinPartitions("shard", "doc_id", "ids").select("shard", "doc_id", "kind", "ids")
+    # a hash of id and text spreads rows that have the same terms
+    spot = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(1 << 20)).alias("spot")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    coded = storage.materialize(rows.select("doc_id", "text", spot).mapInArrow(encode, "doc_id long, kind string, ids binary, spot double"), "coded")
+    counted = {r["term"]: r["c"] for r in coded.select("kind", "ids").mapInArrow(count, "term long, c long").groupBy("term").agg(F.sum("c").alias("c")).collect()}  # a row for each token of the tokenizer
+    n, length = counted.pop(-1, 0), counted.pop(-2, 0)
+    df = np.zeros(max(counted, default=0) + 1, np.int64)
+    df[list(counted)] = list(counted.values())
+    shared = spark.sparkContext.broadcast(Statistics(n, length, df))
+    keyed = storage.materialize(coded.mapInArrow(key, "doc_id long, kind string, ids binary, spot double, one int, two int"), "keyed")
+    # groups with one first term lie end to end; in a group, documents with one second term lie close together
+    sizes = sorted(keyed.groupBy("one").agg(F.count("*").alias("n")).collect())  # a row for each token at most
+    starts, at = [], 0
+    for r in sizes:
+        starts.append((r["one"], at, r["n"]))
+        at += r["n"]
+    groups = F.broadcast(spark.createDataFrame(starts, "one int, at long, n long"))
+    second = F.pmod(F.xxhash64("two"), F.lit(1 << 20)) / F.lit(1 << 20)
+    shard = F.floor((F.col("at") + F.col("n") * (second * F.lit(1 - SPREAD) + F.col("spot") * F.lit(SPREAD))) / F.lit(shard_docs)).cast("int").alias("shard")
+    placed = keyed.join(groups, "one").select(shard, "doc_id", "kind", "ids")
+    grouped = placed.repartition("shard").sortWithinPartitions("shard", "doc_id", "ids")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return grouped.mapInArrow(pack_shards, schema)
 
