@@ -275,6 +275,12 @@ def test_pages():
     assert html.main_text("a < b &amp c") == "a < b & c"
 
 
+def test_short_lines_beside_dropped_blocks():
+    share = "<div class=share><p>Tweet</p><p>Post</p><p>Mail</p></div>"
+    long = "This is a long enough paragraph of the text itself, with words. " * 3
+    assert html.main_text(f"<body><div><h1>Title</h1></div>{share}<div><p>{long}</p></div>{share}<p>The end.</p></body>") == f"Title\n{long.strip()}\nThe end."
+
+
 def test_extract(spark):
     rows = [(1, "http://a", "<p>Hi there</p>"), (1, "http://a", "<p>Hi there</p>"), (None, None, None), (2, None, "")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()

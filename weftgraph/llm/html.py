@@ -1,13 +1,10 @@
-"""Main text of web pages by the distribution of text over line blocks.
-
-A page is cut into lines, one for each block element, after its markup is stripped. A
-line's weight is the length of its text; lines of menus, forms, notices and the like
-(judged by element, role, class or id) weigh nothing, and neither do lines outside the
-article or main element where there is one. Weights are summed over windows of WINDOW
-lines. A surge is where the sums leave zero, the next dive where they come back to it; a
-region between them is kept if its largest sum reaches the threshold (any sum does within
-an article element; else SURGE characters, or the largest of the page), and its weighted
-lines are the text.
+"""Main text of web pages: the lines that their elements, roles, classes and ids don't mark as something else.
+
+A page is cut into lines, one for each block element, after its markup is stripped. Lines
+of menus, forms, notices and the like (judged by element, role, class or id) are left
+out, and so are lines outside the article or main element where there is one; all others
+are the text, however short. Lengths of lines decide nothing: a bound on their sums over
+windows loses headings and short paragraphs that stand beside marked blocks.
 """
 
 from __future__ import annotations
@@ -21,11 +18,6 @@ from pyspark.sql import functions as F
 
 from weftgraph import storage
 
-#: Lines in a window.
-WINDOW = 3
-#: Characters in a window that make a surge on a page without an article element.
-SURGE = 120
-
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]{0,4096}+"|'[^']{0,4096}+')*+)>"""
@@ -152,20 +144,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     found, any_article = lines(html)
-    weights = [0 if dropped or (any_article and not inside) else len(line) for line, dropped, inside in found]
-    sums = [sum(weights[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(weights))]  # of the window that ends at i
-    regions: list[tuple[int, int, int]] = []
-    i = 0
-    while i < len(sums):
-        if not sums[i]:
-            i += 1
-            continue
-        surge = i
-        while i < len(sums) and sums[i]:
-            i += 1
-        regions.append((surge, i, max(sums[surge:i])))
-    least = 0 if any_article else min(SURGE, max((r[2] for r in regions), default=0))
-    return "\n".join(found[j][0] for a, b, most in regions if most >= least for j in range(a, b) if weights[j])
+    return "\n".join(line for line, dropped, inside in found if not dropped and (inside or not any_article))
 
 
 def extract(pages: DataFrame) -> DataFrame:
