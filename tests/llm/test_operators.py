@@ -199,6 +199,16 @@ def test_decontamination(spark, docs, rows, none, bound, monkeypatch):
     assert decontam.decontaminate(none, bench).count() == 0
 
 
+def test_items_without_id(spark, docs, tmp_path):
+    text = next(r["text"] for r in docs.collect() if r["text"] and len(r["text"].split()) > 60)
+    bench = spark.createDataFrame([(None, " ".join(text.split()[5:30]))], "item_id long, text string")
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = decontam.decontaminate(one, bench).first()
+    assert (got["n_hit"], got["n_items"], got["items_sha256"], got["contaminated"]) == (25, 0, sha256(b"").hexdigest(), True)
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert decontam.decontaminate_stage(spark, one, str(tmp_path)).count() == 0
+
+
 # near-duplicates
 
 

@@ -126,16 +126,17 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     n_hit counts the words inside any occurrence of any window; n_items the items with an
     occurring window; items_sha256 is the hash of their ids, sorted as strings and joined by
     commas (of the empty string, if there are none). Null texts have no words; an item
-    without words or text has no window; a null item_id is left out. Repeated items and rows
+    without words or text has no window; one without an item_id counts for n_hit and
+    contaminated, but is in neither n_items nor the ids. Repeated items and rows
     are fine; with no items nothing is contaminated.
     """
-    documents, hits = contained(docs, items.where("item_id IS NOT NULL"))
+    documents, hits = contained(docs, items)
     hits = storage.materialize(hits, "hits")
     spans = hits.groupBy("doc_id", "key", "start").agg(F.max(F.col("start") + F.col("size")).alias("end"))
     before = Window.partitionBy("doc_id", "key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.col("end") - F.greatest(F.col("start"), F.coalesce(F.max("end").over(before), F.lit(0)))
     covered = spans.withColumn("n", F.greatest(fresh, F.lit(0))).groupBy("doc_id", "key").agg(F.sum("n").alias("n_hit"))
-    owners = item_windows(items.where("item_id IS NOT NULL"))[1]
+    owners = item_windows(items)[1]
     per_item = hits.select("doc_id", "key", "window").distinct().join(owners, "window").select("doc_id", "key", "item_id").distinct()
     listed = per_item.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))  # at most the benchmark's items
     ids = listed.select("doc_id", "key", F.size("items").alias("n_items"), F.array_join("items", ",").alias("ids"))
@@ -162,7 +163,7 @@ def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without any benchmark passage, with all their columns."""
-    _, hits = contained(docs, storage.table(spark, sf_dir, "benchmark").where("item_id IS NOT NULL"))
+    _, hits = contained(docs, storage.table(spark, sf_dir, "benchmark"))
     hit = hits.select(F.col("doc_id").alias("d_"), F.col("key").alias("h_")).distinct()
     hit = storage.maybe_broadcast(storage.materialize(hit, "contaminated"))
     return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.xxhash64("text") == F.col("h_")), "left_anti")
