@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph import storage
+from weftgraph.llm import joins
 
 
 def host_of(url: Column) -> Column:
@@ -38,15 +39,29 @@ def blocked(captures: DataFrame, changes: DataFrame) -> DataFrame:
 
     entry is the longest listed domain that covers the host, since when it had been listed;
     both are null where nothing is. A url without a host, or a null date, is not blocked.
-    Repeated rows are each judged.
+    Repeated rows are each judged; other columns are not read.
+
+    Suffixes are taken of distinct hosts, and only those that are entries go on. Distinct
+    (entry, day) pairs meet the entry's intervals in one order by day, where the last
+    interval that began is the one to look at: a task holds an entry's days, and not its
+    captures.
     """
     intervals = storage.materialize(validity(changes), "intervals")
     rows = captures.select("page_id", "url", "fetched", host_of(F.col("url")).alias("host"))
     pairs = rows.select("host", "fetched").where("host IS NOT NULL AND fetched IS NOT NULL").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keyed = pairs.select("host", "fetched", F.explode(suffixes).alias("entry"))
-    met = keyed.join(storage.maybe_broadcast(intervals), "entry").where("since <= fetched AND (until IS NULL OR fetched < until)")
+    below = pairs.select("host").distinct().select("host", F.explode(suffixes).alias("entry"))
+    entries = storage.materialize(intervals.select("entry").distinct(), "entries")
+    covered = storage.materialize(joins.beside(below, entries, "entry", "host", "left_semi"), "covered")
+    keyed = storage.materialize(pairs.join(covered, "host"), "keyed")
+    asked = keyed.select("entry", F.col("fetched").alias("day")).distinct()
+    none = F.lit(None).cast("date")
+    line = intervals.select("entry", F.col("since").alias("day"), F.lit(0).alias("kind"), F.struct("since", "until").alias("span")).union(asked.select("entry", "day", F.lit(1), F.when(F.lit(False), F.struct(none.alias("since"), none.alias("until")))))
+    so_far = Window.partitionBy("entry").orderBy("day", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = line.withColumn("last", F.last("span", ignorenulls=True).over(so_far)).where("kind = 1 AND last IS NOT NULL AND (last.until IS NULL OR day < last.until)")
+    active = storage.materialize(found.select("entry", F.col("day").alias("fetched"), F.col("last.since").alias("since")), "active")
+    met = keyed.join(storage.maybe_broadcast(active), ["entry", "fetched"])
     best = met.groupBy("host", "fetched").agg(F.max(F.struct(F.length("entry").alias("n"), "entry", "since")).alias("b"))
     best = storage.materialize(best.select("host", "fetched", F.col("b.entry").alias("entry"), F.col("b.since").alias("since")), "blocked")
     return rows.join(storage.maybe_broadcast(best), ["host", "fetched"], "left").withColumn("blocked", F.col("entry").isNotNull())
