@@ -33,9 +33,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     Columns: part int, dtype string, n_docs, n_null, n_tokens, base (long). A null text
     counts as empty and gives the end id alone. Rows without a doc_id come first. Repeated
-    rows are written each time, ties in the order of their texts. Other columns are not
+    rows are written each time, ties in the order of a hash of their texts; ranges are cut
+    between rows of one doc_id too, so no id is bound to one task. Other columns are not
     read. An empty table gives an empty manifest.
     """
+    folder = store.qualified(docs.sparkSession, folder)
 
     @memory.lean
     def write(batches):
@@ -68,18 +70,20 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         store.put(f"{name}.doc", lambda f: f.write(np.concatenate(ids).tobytes()))
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "dtype": [kind], "n_docs": [len(offsets) - 1], "n_null": [nulls], "n_tokens": [int(offsets[-1])]})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    parts = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "part int, dtype string, n_docs long, n_null long, n_tokens long")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"), F.spark_partition_id().alias("from"))
+    parts = rows.repartitionByRange("doc_id", "tie", "from").sortWithinPartitions("doc_id", "tie", "from").mapInArrow(write, "part int, dtype string, n_docs long, n_null long, n_tokens long")
     made = storage.materialize(parts, "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return made.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
 
 
 def read_token_files(manifest: DataFrame, folder: str, block: int = 4096) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32 (long).
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32 (long); a task for each file.
 
     ids_crc32 is the unsigned crc32 of the ids as little-endian unsigned 32-bit integers.
     """
+    folder = store.qualified(manifest.sparkSession, folder)
 
     def read(batches):
         for batch in batches:
@@ -92,7 +96,8 @@ def read_token_files(manifest: DataFrame, folder: str, block: int = 4096) -> Dat
                     no_id = np.arange(lo, lo + len(at) - 1) < m["n_null"]
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.asarray(keys[lo : lo + len(at) - 1]), mask=no_id), "start": m["base"] + at[:-1], "n_tokens": np.diff(at), "ids_crc32": crcs})
 
-    spread = manifest.select("part", "dtype", "n_docs", "n_null", "base").repartition("part")
+    rows = manifest.select("part", "dtype", "n_docs", "n_null", "base")
+    spread = rows.repartition(max(1, rows.count()))  # a number that is given is kept; without one all files would go to one task
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 
 
+def qualified(spark, folder: str) -> str:
+    """The folder as a URI; a path without a scheme is one of the session's default store, as it is for Spark's own readers."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + uri.removeprefix("file:") if re.match("file:/[^/]", uri) else uri
+
+
 def local_path(uri: str) -> str | None:
     """The path of a file: URI or a plain path, None for any other store."""
     parts = urlparse(uri)
