@@ -79,19 +79,17 @@ class Index:
         order = np.argsort(self.term, kind="stable")
         self.posted, self.post_weight = doc[order], self.weight[order]
 
-    def query(self, seed: int) -> np.ndarray:
-        """The seed's terms of most weight among those that others have."""
+    def terms(self, seed: int) -> np.ndarray:
+        """The seed's terms that others have, those of most weight first."""
         own = slice(self.own[seed], self.own[seed + 1])
         term, weight = self.term[own], np.where(self.df[self.term[own]] > 1, self.weight[own], 0)
-        if len(term) > QUERY_TERMS:
-            best = np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]
-            term, weight = term[best], weight[best]
-        return term[weight > 0]
+        term, weight = term[weight > 0], weight[weight > 0]
+        return term[np.lexsort((term, -weight))]
 
-    def neighbours(self, seed: int, unused: np.ndarray, k: int) -> np.ndarray:
-        """The best k unused documents that share a query term with the seed, best first (ties by position)."""
+    def neighbours(self, query: np.ndarray, unused: np.ndarray, k: int) -> np.ndarray:
+        """The best k unused documents that have a term of the query, best first (ties by position)."""
         score = np.zeros(self.n, np.float32)
-        for t in self.query(seed):
+        for t in query:
             a, b = self.start[t], self.start[t] + self.df[t]
             score[self.posted[a:b]] += self.post_weight[a:b]
         score[~unused] = 0
@@ -101,38 +99,48 @@ class Index:
         return found[np.lexsort((found, -score[found]))]
 
 
+class Search:
+    """A seed's unused neighbours: by its QUERY_TERMS terms of most weight, then, as these run out, by its next ones, to the last."""
+
+    def __init__(self, index: Index, seed: int):
+        self.index, self.terms, self.at, self.queue = index, index.terms(seed), 0, []
+
+    def next(self, unused: np.ndarray) -> int:
+        """The best unused neighbour; -1 if no unused document shares a term with the seed."""
+        self.queue = [d for d in self.queue if unused[d]]
+        while not self.queue and self.at < len(self.terms):
+            self.queue = self.index.neighbours(self.terms[self.at : self.at + QUERY_TERMS], unused, NEIGHBOURS).tolist()
+            if not self.queue:  # used documents stay used, so these terms are done with
+                self.at += QUERY_TERMS
+        return self.queue.pop(0) if self.queue else -1
+
+
 def pack_shard(docs: list[np.ndarray], window: int = WINDOW, stats: Statistics | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of a shard whose documents aren't empty."""
     n = len(docs)
     index, unused = Index(docs, stats), np.ones(n, bool)
     pieces, sequence, fill, free = [], 0, 0, 0
-    seed, queue = -1, []
+    seed, search = -1, None
     for _ in range(n):
-        if seed < 0 or fill == 0:  # a new window without a rest: the next unused document is its seed
+        doc = -1
+        if fill:
+            search = search or Search(index, seed)
+            doc = search.next(unused)
+        if doc < 0:  # a new window without a rest, or no neighbour: the next unused document
             while not unused[free]:
                 free += 1
-            doc, queue = free, []
-        else:
-            queue = [d for d in queue if unused[d]]
-            if not queue:
-                queue = index.neighbours(seed, unused, NEIGHBOURS).tolist()
-            if queue:
-                doc = queue.pop(0)
-            else:
-                while not unused[free]:
-                    free += 1
-                doc = free
+            doc = free
         unused[doc] = False
         start, total = 0, len(docs[doc])
         if fill == 0:
-            seed = doc
+            seed, search = doc, None
         while start < total:
             length = min(window - fill, total - start)
             pieces.append((doc, start, length, sequence, fill))
             start, fill = start + length, fill + length
             if fill == window:
                 sequence, fill = sequence + 1, 0
-                seed, queue = doc, []
+                seed, search = doc, None
     return _cut_last(pieces, fill, sequence)
 
 
@@ -227,8 +235,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             }
             yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(ids, pa.binary())} if with_ids else {}))
 
-    # a hash of id and text spreads rows that have the same terms
-    spot = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(1 << 20)).alias("spot")
+    # a hash of id and text, and of where a row was read, spreads rows that have the same terms
+    spot = (F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(1 << 20)) / F.lit(1 << 20)).alias("spot")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     coded = storage.materialize(rows.select("doc_id", "text", spot).mapInArrow(encode, "doc_id long, kind string, ids binary, spot double"), "coded")
     counted = {r["term"]: r["c"] for r in coded.select("kind", "ids").mapInArrow(count, "term long, c long").groupBy("term").agg(F.sum("c").alias("c")).collect()}  # a row for each token of the tokenizer
