@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph import storage
-from weftgraph.llm import memory, shingles
+from weftgraph.llm import joins, memory, names, shingles
 from weftgraph.operators.components import connected_components
 
 #: Percent of similarity from which a hub's part in a set is told apart from the rest.
@@ -45,6 +45,8 @@ NEAR_HUB = 30
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 BANDS, ROWS = 20, 3
+#: Pairs of one hub that are compared in one group.
+GROUP = 32
 _SEEDS = shingles.mix(np.arange(1, 1 + 4 * BANDS * ROWS, dtype=np.uint64)).astype(np.uint32)
 _FLIP, _MULT = _SEEDS[: 2 * BANDS * ROWS, None], _SEEDS[2 * BANDS * ROWS :, None] | np.uint32(1)
 
@@ -91,36 +93,45 @@ def sketches(docs: DataFrame) -> DataFrame:
 def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (u, v) of doc_ids with both (common shingles), nu, nv (their shingles), and what u adds to v.
 
-    adds is empty below a similarity of NEAR_HUB percent.
+    adds is empty below a similarity of NEAR_HUB percent. The pairs of one v are dealt in
+    groups of about GROUP; a group gets v's text once, ahead of the texts of its u.
     """
 
     @memory.lean
     def check(batches):
+        at, own = None, []
         for batch in batches:
-            at = 0
-            for left in shingles.slices(batch.column(2), 2_000_000):
-                for right in shingles.slices(batch.column(3).slice(at, len(left)), 2_000_000):
-                    yield compare(batch.slice(at, len(right)), right)
-                    at += len(right)
-
-    def compare(batch, right):
-        rows = []
-        for a, b in zip(shingles.shingle_sets(batch.column(2)), shingles.shingle_sets(right)):
-            adds = np.setdiff1d(a, b, assume_unique=True)
-            both = len(a) - len(adds)
-            near = both and 100 * both >= NEAR_HUB * (len(a) + len(b) - both)
-            rows.append((both, len(a), len(b), adds.view(np.int64) if near else adds[:0].view(np.int64)))
-        both, nu, nv, adds = map(list, zip(*rows))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (both, nu, nv)), pa.array(adds, pa.list_(pa.int64()))], ["u", "v", "both", "nu", "nv", "adds"])
+            done = 0
+            for texts in shingles.slices(batch.column(3), 2_000_000):
+                n, rows = len(texts), []
+                keys = zip(*(batch.column(c).slice(done, n).to_pylist() for c in range(3)))
+                for (v, group, u), s in zip(keys, shingles.shingle_sets(texts)):
+                    if (v, group) != at:
+                        at, own = (v, group), []
+                    if u is None:
+                        own.append(s)
+                        continue
+                    for other in own:  # more than one only where an id has several texts
+                        adds = np.setdiff1d(s, other, assume_unique=True)
+                        both = len(s) - len(adds)
+                        near = both and 100 * both >= NEAR_HUB * (len(s) + len(other) - both)
+                        rows.append((u, v, both, len(s), len(other), adds.view(np.int64) if near else adds[:0].view(np.int64)))
+                done += n
+                if rows:
+                    u, v, both, nu, nv, adds = map(list, zip(*rows))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (u, v, both, nu, nv)), pa.array(adds, pa.list_(pa.int64()))], ["u", "v", "both", "nu", "nv", "adds"])
 
     pairs = storage.materialize(pairs, "pairs")
     ids = storage.materialize(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "doc_id"), "pair-ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(storage.maybe_broadcast(ids), "doc_id", "left_semi").distinct()
     texts = storage.materialize(texts, "pair-texts")
-    one = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu"))
-    two = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv"))
-    both = pairs.join(one, "u").join(two, "v").select("u", "v", "tu", "tv")
-    return both.mapInArrow(check, "u long, v long, both long, nu long, nv long, adds array<long>")
+    many = storage.materialize(pairs.groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") > GROUP).select(F.col("v").alias("hub"), (F.col("c") / GROUP).cast("long").alias("more")), "many-pairs")
+    group = F.when(F.col("more").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("u"), F.col("more") + 1)).cast("int")
+    grouped = storage.materialize(pairs.join(storage.maybe_broadcast(many), F.col("v") == F.col("hub"), "left").select("u", "v", group.alias("group")), "grouped")
+    ends = grouped.join(texts.withColumnRenamed("doc_id", "u"), "u").select("v", "group", "u", "text")
+    hubs = grouped.select("v", "group").distinct().join(texts.withColumnRenamed("doc_id", "v"), "v").select("v", "group", F.lit(None).cast("long").alias("u"), "text")
+    laid = ends.union(hubs).repartition("v", "group").sortWithinPartitions("v", "group", F.col("u").asc_nulls_first())
+    return laid.mapInArrow(check, "u long, v long, both long, nu long, nv long, adds array<long>")
 
 
 def _similar(percent: int = PERCENT):
@@ -151,13 +162,16 @@ def _through_hubs(sets: DataFrame) -> DataFrame:
 
 
 def _main_hubs(tried: DataFrame) -> DataFrame:
-    """(rep, main, i, adds): each compared class's hub, the one with most comparisons, what it has of it, and what it adds; hubs are near themselves."""
-    popular = tried.groupBy("v").agg(F.count("*").alias("popular"))
+    """(rep, main, i, adds): each compared class's hub, the one with most comparisons, what it has of it, and what it adds; hubs are near themselves.
+
+    Counts of a hub are summed before they are dealt out, and join its rows by broadcast or in salted parts.
+    """
+    popular = storage.materialize(tried.groupBy("v").agg(F.count("*").alias("popular")).withColumnRenamed("v", "main"), "popular")
     once = tried.groupBy("u", "v").agg(F.count("*").alias("c")).where("c = 1").select("u", "v")  # an id with two texts has no hub
     near = tried.join(once, ["u", "v"], "left_semi").where(100 * F.col("both") >= NEAR_HUB * (F.col("nu") + F.col("nv") - F.col("both")))
     near = near.select(F.col("u").alias("rep"), F.col("v").alias("main"), F.col("both").alias("i"), "adds")
     own = tried.groupBy("v").agg(F.max("nv").alias("i"), F.min("nv").alias("j")).where("i = j").select(F.col("v").alias("rep"), F.col("v").alias("main"), "i", F.array().cast("array<long>").alias("adds"))
-    every = near.union(own).join(popular.withColumnRenamed("v", "main"), "main")
+    every = joins.beside(near.union(own), popular, "main", "rep")
     best = every.groupBy("rep").agg(F.max(F.struct("popular", -F.col("main"))).alias("b")).select("rep", (-F.col("b.col2")).alias("main"))
     return every.join(best, ["rep", "main"], "left_semi").select("rep", "main", "i", "adds")
 
@@ -165,8 +179,9 @@ def _main_hubs(tried: DataFrame) -> DataFrame:
 def _sharing_additions(placed: DataFrame, mains: DataFrame) -> DataFrame:
     """Candidate pairs of classes with one main hub that share one of the rarest shingles they add to it."""
     rows = placed.select("rep", "n", "comp").join(mains, "rep").where(F.size("adds") > 0)
+    rows = storage.materialize(rows, "with-additions")
     open_ = rows.groupBy("main").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("main")
-    rows = rows.join(open_, "main", "left_semi")
+    rows = joins.beside(rows, storage.materialize(open_, "open"), "main", "rep", "left_semi")
     # a similar set shares at least so many additions: PERCENT of the set lie in the other, and i at most in the hub
     needed = F.greatest(F.lit(1), F.ceil(F.col("n") * PERCENT / 100) - F.col("i"))
     spread = rows.select("main", "rep", "n", "comp", (F.size("adds") - needed + 1).alias("prefix"), F.explode("adds").alias("key")).where("prefix > 0")
@@ -194,8 +209,8 @@ def _tables(sets: DataFrame) -> DataFrame:
 
 def _to_common_hubs(tables: DataFrame, mains: DataFrame) -> DataFrame:
     """Candidate pairs (u, v): each class u with v, the main hub of most classes among those it shares tables with."""
-    sizes = mains.groupBy("main").agg(F.count("*").alias("size"))
-    led = tables.join(mains.select("rep", "main").join(sizes, "main"), "rep")
+    sizes = storage.materialize(mains.groupBy("main").agg(F.count("*").alias("size")), "main-sizes")
+    led = tables.join(joins.beside(mains.select("rep", "main"), sizes, "main", "rep"), "rep")
     lead = led.groupBy("key").agg(F.max(F.struct("size", -F.col("main"))).alias("h"))
     best = tables.join(lead, "key").groupBy("rep").agg(F.max("h").alias("h")).select(F.col("rep").alias("u"), (-F.col("h.col2")).alias("v"))
     return best.where("u <> v")
@@ -265,17 +280,33 @@ def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one document of each near-duplicate group, the one with the least doc_id; rows that repeat it go as well."""
-    verdicts = near_duplicates(docs)
-    verdicts = storage.materialize(verdicts, "verdicts")
-    gone = storage.maybe_broadcast(storage.materialize(verdicts.where("NOT kept").select(F.col("doc_id").alias("d_")).distinct(), "copies"))
-    kept = docs.join(gone, F.col("doc_id") == F.col("d_"), "left_anti")
-    twice = storage.materialize(verdicts.where("kept AND n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("d_")), "twice")
-    if twice.isEmpty():
-        return kept
-    twice = storage.maybe_broadcast(twice)
-    once = kept.join(twice, F.col("doc_id") == F.col("d_"), "left_anti")
-    return once.unionByName(kept.join(twice, F.col("doc_id") == F.col("d_"), "left_semi").dropDuplicates(["doc_id"]))
+    """docs with one document of each near-duplicate group, the one with the least doc_id.
+
+    A document is a doc_id with its text: unlike texts under one id, and rows without an id,
+    are documents of their own, which go if their group has an id of one row alone (which
+    of them stays else is settled by a hash), and of rows that repeat only one stays. Rows
+    without words all stay.
+    """
+    node, other = names.free("node_", docs.columns), names.free("gone_", docs.columns)
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    unclear = docs.select(doc_id.alias(other)).groupBy(other).agg(F.count("*").alias("c")).where(f"c > 1 OR {other} IS NULL").select(other)
+    unclear = storage.materialize(unclear, "unclear-ids")
+    plain = unclear.isEmpty()
+    if plain:
+        marked = docs.withColumn(node, doc_id)
+    else:
+        # a number over all usual ids, for a doc_id with its text
+        own = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(doc_id, text), 2)
+        met = docs.join(storage.maybe_broadcast(unclear), doc_id.eqNullSafe(F.col(other)), "left_semi").withColumn(node, own)
+        single = docs.join(storage.maybe_broadcast(unclear), doc_id.eqNullSafe(F.col(other)), "left_anti").withColumn(node, doc_id)
+        marked = single.union(met)
+    verdicts = near_duplicates(marked.select(F.col(node).alias("doc_id"), text.alias("text")))
+    gone = storage.maybe_broadcast(storage.materialize(verdicts.where("NOT kept").select(F.col("doc_id").alias(other)).distinct(), "copies"))
+    if plain:
+        return docs.join(gone, doc_id == F.col(other), "left_anti")
+    once = met.where(text.rlike(r"[^\x20\x09-\x0D]")).dropDuplicates([node])
+    rest = met.where(~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return single.union(once).union(rest).join(gone, F.col(node) == F.col(other), "left_anti").drop(node)
 
 
 ORACLE = r"""
