@@ -12,10 +12,13 @@ stratum loses more than ALPHA of its good documents to the rules.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph import storage
+from weftgraph.llm import names
 
 SPACE = r"[\x20\x09-\x0D]"
 #: Share of a stratum's good documents that all rules together may reject.
@@ -33,6 +36,8 @@ RULES: dict[str, tuple[float, ...]] = {
     "shout_ratio": (0.1, 0.2, 0.3, 0.5),
 }
 STRATUM = "lang"
+#: Terms of a binomial tail that are summed one by one.
+TERMS = 2048
 
 
 def features(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -96,19 +101,42 @@ def measures() -> dict[str, Column]:
     }
 
 
+def _log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function at x >= 1, by Stirling's series from x + 16 on."""
+    y = x + F.lit(16.0)
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    for j in range(16):
+        series = series - F.log(x + F.lit(float(j)))
+    return series
+
+
 def binomial_tail(k: Column, n: Column, rate: float) -> Column:
-    """P(X <= k) for X ~ Bin(n, rate), exactly, by a sum of terms in logarithms (safe for any n)."""
-    odds = F.lit(rate / (1 - rate))
-    first = n * F.log(F.lit(1 - rate))
-    start = F.struct(first.alias("term"), first.alias("sum"))
+    """P(X <= k) for X ~ Bin(n, rate), 0 <= k <= n, in bounded memory for any n.
 
-    def step(acc, i):
-        term = acc["term"] + F.log((n - i + 1) / i * odds)
-        high, low = F.greatest(acc["sum"], term), F.least(acc["sum"], term)
-        return F.struct(term.alias("term"), (high + F.log1p(F.exp(low - high))).alias("sum"))
+    Below the mean, terms are summed from k down, else from k + 1 up and taken from one; they
+    fall from the first on. TERMS of them are summed, and what is left out is bounded by a geometric
+    series, so the value is exact to rounding up to some millions of n, and beyond that
+    errs upwards alone.
+    """
+    up, down = F.lit(rate / (1 - rate)), F.lit((1 - rate) / rate)
+    low = k < n * F.lit(rate)
+    first = F.when(low, k).otherwise(k + 1).cast("double")
+    log_first = _log_gamma(n + 1.0) - _log_gamma(first + 1.0) - _log_gamma(n - first + 1.0) + first * F.lit(math.log(rate)) + (n - first) * F.lit(math.log1p(-rate))
+    count = F.least(F.when(low, k).otherwise(n - k - 1), F.lit(TERMS).cast("long"))  # terms after the first
 
-    steps = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>"))
-    return F.exp(F.aggregate(steps, start, step, lambda acc: acc["sum"]))
+    def ratio(j: Column) -> Column:
+        """Term j + 1 over term j, counted from the first."""
+        return F.when(low, (first - j) / (n - first + j + 1) * down).otherwise((n - first - j) / (first + j + 1) * up)
+
+    def step(acc, j):
+        term = acc["term"] * ratio(j)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    steps = F.when(count >= 1, F.sequence(F.lit(0).cast("long"), count - 1)).otherwise(F.array().cast("array<long>"))
+    total = F.aggregate(steps, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")), step)
+    rest = F.when(low & (count < k), total["term"] * ratio(count) / (1 - ratio(count))).otherwise(0.0)
+    lower = F.exp(log_first) * (total["sum"] + rest)
+    return F.when(low, F.least(lower, F.lit(1.0))).when(k >= n, F.lit(1.0)).otherwise(F.greatest(1 - F.exp(log_first) * total["sum"], F.lit(0.0)))
 
 
 def cutoffs(table: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -125,11 +153,11 @@ def cutoffs(table: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     tests = table.select("stratum").distinct().count() * sum(len(cs) for cs in RULES.values())
     rate = alpha / len(RULES)
 
-    def first_certified(rule: str, cs: tuple[float, ...]) -> Column:
-        checked = [F.when(binomial_tail(F.col(f"k_{rule}_{i}"), F.col("n"), rate) <= F.lit(delta / max(1, tests)), F.lit(c)) for i, c in enumerate(cs)]
-        return F.coalesce(*checked).alias(f"cut_{rule}")
-
-    return per.select("stratum", *[first_certified(r, cs) for r, cs in RULES.items()])
+    # a row for each test of a stratum
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(float(c)).alias("cut"), F.col(f"k_{r}_{i}").alias("k")) for r, cs in RULES.items() for i, c in enumerate(cs)]))
+    tested = per.select("stratum", "n", each.alias("t")).select("stratum", "n", "t.*")
+    certified = tested.where(binomial_tail(F.col("k"), F.col("n"), rate) <= F.lit(delta / max(1, tests)))
+    return certified.groupBy("stratum").agg(*[F.min_by(F.when(F.col("rule") == r, F.col("cut")), F.when(F.col("rule") == r, F.col("i"))).alias(f"cut_{r}") for r in RULES])
 
 
 def judged(table: DataFrame, labels: DataFrame) -> DataFrame:
@@ -162,11 +190,11 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Verdicts join by doc_id and text hash, so rows that share an id are told apart, rows
     without an id are judged too, and rows that repeat stay as they are.
     """
-    key = F.xxhash64("text")
-    table = storage.materialize(features(docs.withColumn("k_", key), ("k_",)), "quality")
-    rejected = judged(table, storage.table(spark, sf_dir, "labels")).where("NOT kept").select(F.col("doc_id").alias("d_"), F.col("k_").alias("h_")).distinct()
+    key, own, d, h = F.xxhash64("text"), *(names.free(x, docs.columns) for x in ("key_", "d_", "h_"))
+    table = storage.materialize(features(docs.withColumn(own, key), (own,)), "quality")
+    rejected = judged(table, storage.table(spark, sf_dir, "labels")).where("NOT kept").select(F.col("doc_id").alias(d), F.col(own).alias(h)).distinct()
     rejected = storage.maybe_broadcast(storage.materialize(rejected, "rejected"))
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("d_")) & (key == F.col("h_")), "left_anti")
+    return docs.join(rejected, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (key == F.col(h)), "left_anti")
 
 
 def _oracle() -> str:
