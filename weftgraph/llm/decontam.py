@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph import storage
+from weftgraph.llm import names
 
 WINDOW = 10
 SHINGLE = 5
-#: Distinct window shingles up to which they are broadcast; beyond it the places are found by a shuffle.
-BROADCAST_SHINGLES = 1_000_000
+#: Distinct window shingles up to which they are broadcast; beyond it a filter of 2^FILTER_BITS bits is (a million words at
+#: most), and the places that pass it are found by a shuffle. Results are the same.
+BROADCAST_SHINGLES, FILTER_BITS = 1_000_000, 26
 #: Stands for a row among the hashes of its shingles; a shingle with this hash does no harm.
 _ROW = 1
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -85,7 +87,11 @@ def places(docs: DataFrame, shingles: DataFrame) -> DataFrame:
     found = ("doc_id", "key", "n_words", at.alias("at"), F.when(F.col("i_") > 0, F.array_join(F.slice("w_", at + 1, size), " ")).alias("token"))
     if few:
         return each.join(F.broadcast(wanted), "h_", "left_semi").select(*found)
-    return each.select(*found, "h_").join(wanted, "h_", "left_semi").drop("h_")
+    # a filter of 64-bit words, of a fixed size whatever the benchmark's: texts are made, and dealt out, of what passes alone
+    spot = F.pmod("h_", F.lit(1 << FILTER_BITS))
+    bits = storage.materialize(wanted.groupBy(F.shiftright(spot, 6).alias("word_")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pmod(h_, {1 << FILTER_BITS}L) & 63))")).alias("bits_")), "filter")
+    passed = each.join(F.broadcast(bits), F.shiftright(spot, 6) == F.col("word_")).where(F.expr(f"bit_get(bits_, int(pmod(h_, {1 << FILTER_BITS}L) & 63)) = 1"))
+    return passed.select(*found, "h_").join(wanted, "h_", "left_semi").drop("h_")
 
 
 def contained(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -164,9 +170,10 @@ def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without any benchmark passage, with all their columns."""
     _, hits = contained(docs, storage.table(spark, sf_dir, "benchmark"))
-    hit = hits.select(F.col("doc_id").alias("d_"), F.col("key").alias("h_")).distinct()
+    d, h = (names.free(x, docs.columns) for x in ("d_", "h_"))
+    hit = hits.select(F.col("doc_id").alias(d), F.col("key").alias(h)).distinct()
     hit = storage.maybe_broadcast(storage.materialize(hit, "contaminated"))
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.xxhash64("text") == F.col("h_")), "left_anti")
+    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(h)), "left_anti")
 
 
 ORACLE = r"""
