@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start long, word string, token string, key long, shard int, n long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start long, word string, token string, key long, shard int, n long, D_ string, h_ long, key_ string, t_ string, w_ int, node_ string, gone_ int, Kept string, stratum int"
 
 
 def texts():
@@ -24,8 +24,9 @@ def texts():
 @pytest.fixture(scope="session")
 def docs(spark):
     got, _ = texts()
-    rows = [(i, t, ["en", "fr", None][i % 3], "src0", None, 1, "w", "t", 2, 3, 4) for i, t in enumerate(got)]
-    rows += [rows[3], (None, got[2], "en", None, 5, 1, "w", "t", 2, 3, 4), (None, None, None, None, None, None, None, None, None, None, None)]
+    more = ("d", 5, "k", "t", 6, "n", 7, "k", 8)
+    rows = [(i, t, ["en", "fr", None][i % 3], "src0", None, 1, "w", "t", 2, 3, 4, *more) for i, t in enumerate(got)]
+    rows += [rows[3], (None, got[2], "en", None, 5, 1, "w", "t", 2, 3, 4, *more), (None,) * 20]
     return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
 
 
