@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests import brute
+from weftgraph.functions import sets
 from weftgraph.operators import counting, fsm, graph, keyword, matcher, motif, query, subsets, triangles
 from weftgraph.operators.components import connected_components
 from weftgraph.plans import catalog
@@ -189,19 +191,84 @@ def test_files(spark, edges, vertices, tmp_path):
     assert sorted(map(tuple, csr.read_edge_list(spark, f"{tmp_path}/e.txt", directed=True).collect())) == [(1, 2), (2, 3)]
 
 
+def test_adjacency_by_shuffle(edges, monkeypatch):
+    monkeypatch.setattr(triangles, "BROADCAST_EDGES", 0)
+    assert value(triangles.clique_count(edges, 4)) == brute.count(HALF, clique(4))
+
+
+def test_labelled_sets(edges, vertices):
+    adj = brute.neighbours(HALF)
+    rows = graph.labelled_adjacency(edges, vertices).select(F.col("id").alias("u"), F.col("nbrs").alias("a")).crossJoin(graph.adjacency(edges).select(F.col("id").alias("v"), F.col("nbrs").alias("b")))
+    v = F.col("v")
+    got = rows.select("u", "v", sets.labelled_intersection("a", "b", 2).alias("i"), sets.labelled_intersection("a", "b", 2, v, [F.lit(4)]).alias("j"), sets.labelled_difference("a", 2, v).alias("r"), sets.labelled_difference("a", 2, v, "b", F.lit(7)).alias("d"))
+    for r in got.collect():
+        a, b = {x for x in adj[r["u"]] if LABELS[x] == 2}, adj[r["v"]]
+        assert (r["i"], r["j"]) == (sorted(a & b), sorted(x for x in a & b if x < r["v"] and x != 4))
+        assert (r["r"], r["d"]) == (sorted(a - {r["v"]}), sorted(x for x in a - b - {r["v"]} if x < 7))
+
+
+def test_matched_candidates(edges, vertices):
+    for pattern in (Pattern.of([(0, 1), (1, 2), (2, 3), (0, 3)], (1, 2, 1, 2)), Pattern.of([(0, 1), (0, 2), (0, 3)], (1, 2, 2, 3))):
+        used = {(q, m[q]) for m in brute.maps(HALF, pattern, LABELS) for q in range(pattern.n)}
+        local = {tuple(r) for r in query.candidates(edges, vertices, pattern, refine=False).collect()}
+        got = {tuple(r) for r in query.matched_candidates(edges, vertices, pattern).collect()}
+        assert used <= got <= local
+    # two neighbours are needed and only one vertex can be both
+    half, labels = [(0, 1), (0, 2), (2, 3)], [(0, 1), (1, 2), (2, 2), (3, 3)]
+    chain = Pattern.of([(0, 1), (0, 2), (1, 3), (2, 4)], (1, 2, 2, 3, 3))
+    assert query.matched_candidates(edges_of(edges.sparkSession, half), edges.sparkSession.createDataFrame(labels, "id long, vlabel int"), chain, 3).count() == 0
+
+
+def test_coloured(edges, vertices):
+    pattern = Pattern.of([(0, 1), (1, 2), (0, 2)], (1, 2, 3))
+    assert {tuple(r) for r in query.coloured_matches(edges, vertices, pattern).collect()} == set(brute.maps(HALF, pattern, LABELS))
+    with pytest.raises(ValueError):
+        query.coloured_matches(edges, vertices, Pattern.of([(0, 1)], (1, 1)))
+
+
+def test_grid(spark, edges, tmp_path):
+    graph.write_grid(edges, 4, f"{tmp_path}/grid")
+    every = sorted(map(tuple, edges.collect()))
+    assert sorted(map(tuple, graph.fetch_blocks(spark, f"{tmp_path}/grid", [0, 1, 2]).collect())) == every
+    assert sorted(map(tuple, graph.fetch_blocks(spark, f"{tmp_path}/grid", [1], [0, 2]).collect())) == [(u, v) for u, v in every if u // 4 == 1 and v // 4 in (0, 2)]
+
+
+def test_edge_labels(spark, edges, tmp_path):
+    prefix = f"{tmp_path}/graph"
+    csr.write_csr(edges, prefix, 9)
+    rows = sorted(map(tuple, edges.collect()))
+    np.array([(u + v) % 3 for u, v in rows], "<u2").tofile(f"{prefix}.elabel.bin")
+    got = csr.read_csr(spark, prefix, edge_labels=True, chunk=7)
+    assert sorted(map(tuple, got.collect())) == [(u, v, (u + v) % 3) for u, v in rows]
+    assert {r["elabel"]: r["freq"] for r in graph.edge_label_frequency(got).collect()} == {x: n for x in range(3) if (n := sum((u + v) % 3 == x for u, v in HALF))}
+
+
 def test_whole_graph_queries(spark, tmp_path):
-    """Edges and vertices of parts of any size count: half of the parts here are large."""
+    """Queries read whole tables: a co-purchase graph of parts, and a trail of orders and customers."""
     orders = [(o, p) for o, (u, v) in enumerate(HALF) for p in (u, v)]
     spark.createDataFrame(orders, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(p, 50 if p % 2 else 1, f"t{LABELS[p]}") for p in range(9)], "p_partkey long, p_size int, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    rng = random.Random(4)
+    made = [(o, rng.randrange(4), f"1998-{rng.randint(1, 9):02d}-01", f"p{rng.randrange(3)}") for o in range(30)]
+    spark.createDataFrame(made, "o_orderkey long, o_custkey long, o_orderdate string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(c, f"s{c % 3}") for c in range(4)], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     run = lambda name: catalog.QUERIES[name](spark, str(tmp_path))
-    cores = brute.cores(HALF)
-    assert {r["id"]: r["core"] for r in run("kcore").collect()} == cores
-    assert value(run("two_core_size")) == sum(c > 1 for c in cores.values())
-    used = brute.maps(HALF, catalog.SQUARE, {p: LABELS[p] for p in range(9)})
+    trail = set()
+    for o, c, day, kind in made:
+        later = sorted((d, p, k) for p, q, d, k in made if q == c and (d, p) > (day, o))
+        for x in [2 * c + 1] + [2 * p for _, p, _ in later[:1]] + [2 * p for _, p, k in later if k == kind][:1]:
+            trail.add((min(2 * o, x), max(2 * o, x)))
+    labels = {2 * o: int(k[1]) + 1 for o, _, _, k in made} | {2 * c + 1: c % 3 + 1 for c in range(4)}
+    adj = brute.neighbours(trail)
+    assert {(r["u"], r["v"]) for r in graphs.trail_half(spark, str(tmp_path)).collect()} == trail
+    assert {r["id"]: r["vlabel"] for r in graphs.trail_labels(spark, str(tmp_path)).collect()} == labels
+    assert {r["id"]: r["core"] for r in run("kcore").collect()} == brute.cores(trail)
+    assert {r["id"]: r["core"] for r in run("kcore_co").collect()} == brute.cores(HALF)
+    assert value(run("two_core_size")) == sum(c > 1 for c in brute.cores(trail).values())
+    used = brute.maps(trail, catalog.SQUARE, labels)
     assert {r["qv"]: r["used"] for r in run("query_candidate_stats").collect()} == {q: len({m[q] for m in used}) for q in range(4)}
-    assert sorted(tuple(r) for r in run("co_query_labeled_square").collect()) == sorted(used)
-    assert len(run("co_connected_components").collect()) == len(brute.neighbours(HALF))
-    assert value(run("co_sub_house")) == brute.count(HALF, NAMED["house"]) and value(run("co_clique4_count")) == brute.count(HALF, clique(4))
-    assert {r["pattern"]: r["cnt"] for r in run("co_motif4").collect()} == {n: brute.count(HALF, NAMED[n], induced=True) for n in MOTIFS[4]}
-    assert run("co_range_segments").count() == 2 * len(HALF)
+    assert sorted(tuple(r) for r in run("query_labeled_square").collect()) == sorted(used)
+    assert len(run("connected_components").collect()) == len(adj) and run("range_segments").count() == 2 * len(trail)
+    assert value(run("clique4_count")) == brute.count(HALF, clique(4)) and value(run("co_rectangle")) == brute.count(HALF, NAMED["rectangle"])
+    assert value(run("sub_house")) == brute.count(trail, NAMED["house"])
+    assert {r["pattern"]: r["cnt"] for r in run("motif4").collect()} == {n: brute.count(trail, NAMED[n], induced=True) for n in MOTIFS[4]}

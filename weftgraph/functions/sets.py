@@ -35,6 +35,24 @@ def difference(a, b, owner, below=None) -> Column:
     return bounded(F.array_sort(F.array_except(a, F.array_append(b, owner))), below)
 
 
+def of_label(a, label, below=None, without=()) -> Column:
+    """The ids of a, an array of struct(id, vlabel), with a label, under the bound, without given ids; the order stays."""
+    a = F.col(a) if isinstance(a, str) else a
+    return bounded(F.transform(F.filter(a, lambda x: x["vlabel"] == label), lambda x: x["id"]), below, without)
+
+
+def labelled_intersection(a, b, label, below=None, without=()) -> Column:
+    """The ids with a label that are in a, an array of struct(id, vlabel), and in b, an array of ids; sorted."""
+    return intersection(of_label(a, label), b, below, without)
+
+
+def labelled_difference(a, label, owner, b=None, below=None) -> Column:
+    """The ids of a, an array of struct(id, vlabel), with a label and without the owner; without its neighbours b too if they are given (vertex-induced); sorted."""
+    if b is None:
+        return F.array_sort(of_label(a, label, below, [owner]))
+    return difference(of_label(a, label), b, owner, below)
+
+
 def union(a, b) -> Column:
     """a or b; sorted."""
     return F.array_sort(F.array_union(a, b))

@@ -26,7 +26,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of edges (u, v); component is the least id reachable.
 
     Loops only give their vertex a component of its own; null ends are left out; repeated
@@ -36,13 +36,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     ids = storage.materialize(rows.select("u").union(rows.select("v")).distinct().withColumnRenamed("u", "id"), "cc-ids")
     now = storage.materialize(rows.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         now = storage.materialize(_small_star(_large_star(now)), "cc")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
         mark = seen
-    else:
-        raise RuntimeError("components did not settle")
     least = now.withColumnRenamed("u", "id")
     return ids.join(least, "id", "left").select("id", F.coalesce("v", "id").alias("component"))

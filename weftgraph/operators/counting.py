@@ -2,35 +2,43 @@
 
 Everything comes from four intermediates: degrees, t (triangles on an edge), the list of
 triangles with the t of their edges, and codegrees (paths of two edges by their ends).
-No shape of over three vertices is listed, but for 4-cliques where they must be corrected
-for. Sums are exact: long, or decimal(38,0) with wide=True.
+Rectangles are counted from paths of two edges below their highest vertex by degree, so that
+hubs' pairs aren't listed. No shape of over three vertices is listed, but for 4-cliques
+and, for 6path, paths of four vertices, where they must be corrected for. Sums are long.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph import storage
 from weftgraph.operators import graph, triangles
 
 
-def _pairs(x: Column) -> Column:
-    """x choose 2."""
-    return (x * (x - 1) / 2).cast("long")
+def below_highest(edges: DataFrame, degree: DataFrame) -> DataFrame:
+    """(x, y, w): paths of two edges from x to y whose other two vertices rank below x, by (degree, id).
+
+    Each rectangle is two of the paths of one pair, that of its highest vertex and the one
+    across. A path's middle ranks below an end, so a hub's pairs are made for still larger hubs alone.
+    """
+    rank = F.struct(F.col("d"), F.col("id"))
+    ranked = edges.join(degree.select(F.col("id").alias("src"), rank.alias("rs")), "src").join(degree.select(F.col("id").alias("dst"), rank.alias("rd")), "dst")
+    down = ranked.where("rd < rs").select(F.col("src").alias("x"), F.col("rs").alias("rx"), F.col("dst").alias("m"))
+    on = ranked.select(F.col("src").alias("m"), F.col("dst").alias("y"), F.col("rd").alias("ry"))
+    return down.join(on, "m").where("ry < rx").groupBy("x", "y").agg(F.count("*").alias("w"))
 
 
 class Counter:
     """Closed-form counts on edges; intermediates are made when first needed, and once."""
 
-    def __init__(self, edges: DataFrame, wide: bool = False):
-        self.edges, self.kind = edges, "decimal(38,0)" if wide else "long"
+    def __init__(self, edges: DataFrame):
+        self.edges = edges
 
-    def _sum(self, df: DataFrame, x) -> int:
-        got = df.agg(F.sum((F.expr(x) if isinstance(x, str) else x).cast(self.kind))).first()[0]
-        return int(got or 0)
+    def _sum(self, df: DataFrame, x: str) -> int:
+        return int(df.agg(F.sum(F.expr(x).cast("long"))).first()[0] or 0)
 
     @cached_property
     def degree(self) -> DataFrame:
@@ -101,7 +109,7 @@ class Counter:
 
     @cached_property
     def rectangle(self) -> int:
-        return self._sum(self.codegree, "w * (w - 1) div 2") // 2
+        return self._sum(below_highest(self.edges, self.degree), "w * (w - 1) div 2")
 
     @cached_property
     def tailedtriangle(self) -> int:

@@ -85,6 +85,7 @@ def mine(edges: DataFrame, vertices: DataFrame, minsup: int, max_edges: int = 3)
     for k in range(1, max_edges + 1):
         frequent = {}
         for shape, maps in level.items():
+            maps = storage.materialize(maps, "maps")  # for the support, the filter and every larger shape
             found = storage.materialize(support(maps, shape).where(F.col("support") >= minsup), "supports")
             frequent[shape] = maps.join(F.broadcast(_all_labellings(found, shape)) if found.limit(10_001).count() <= 10_000 else _all_labellings(found, shape), [f"l{i}" for i in range(shape.n)], "left_semi")
             shown = F.concat(F.array_join(F.array(*[x.cast("string") for x in _labels(shape.n)]), " "), F.lit(" | " + " ".join(f"{a}-{b}" for a, b in sorted(shape.edges))))

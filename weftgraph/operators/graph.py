@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph import storage
@@ -16,7 +15,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def stats(edges: DataFrame) -> DataFrame:
     """One row: vertices, edges (undirected), max_degree (long)."""
-    return degrees(edges).agg(F.count("*").alias("vertices"), F.coalesce((F.sum("degree") / 2).cast("long"), F.lit(0).cast("long")).alias("edges"), F.coalesce(F.max("degree"), F.lit(0).cast("long")).alias("max_degree"))
+    return degrees(edges).agg(F.count("*").alias("vertices"), F.coalesce(F.expr("sum(degree) div 2"), F.lit(0).cast("long")).alias("edges"), F.coalesce(F.max("degree"), F.lit(0).cast("long")).alias("max_degree"))
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -43,6 +42,12 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
 
 
+def labelled_adjacency(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(id, nbrs): sorted arrays of struct(id, vlabel) of neighbours."""
+    labelled = edges.join(vertices.select(F.col("id").alias("dst"), "vlabel"), "dst")
+    return labelled.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("dst").alias("id"), "vlabel"))).alias("nbrs"))
+
+
 def has_edges(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """The pairs (u, v) that are edges."""
     return pairs.join(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), ["u", "v"], "left_semi")
@@ -87,13 +92,13 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return one.join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
-def core_numbers(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
+def core_numbers(edges: DataFrame) -> DataFrame:
     """(id, core): a vertex's value becomes the h-index of its neighbours' values until nothing changes.
 
     Neighbours' values are counted by value first, so a hub's rows are as many as its values.
     """
     now = storage.materialize(degrees(edges).withColumnRenamed("degree", "core"), "cores")
-    for _ in range(max_rounds):
+    while True:  # values only fall, so this ends
         seen = edges.join(now.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "core").agg(F.count("*").alias("n"))
         above = Window.partitionBy("id").orderBy(F.desc("core"))
         fits = seen.withColumn("at_least", F.sum("n").over(above)).groupBy("id").agg(F.max(F.least("core", "at_least")).alias("core"))
@@ -101,7 +106,6 @@ def core_numbers(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
         if new.join(now.withColumnRenamed("core", "was"), "id").where("core <> was").isEmpty():
             return new
         now = new
-    raise RuntimeError("core numbers did not settle")
 
 
 def two_core_size(edges: DataFrame) -> DataFrame:
@@ -128,6 +132,22 @@ def grid_blocks(edges: DataFrame, size: int) -> DataFrame:
     return edges.select(F.floor(F.col("src") / size).cast("int").alias("row"), F.floor(F.col("dst") / size).cast("int").alias("col"), "src", "dst")
 
 
+def write_grid(edges: DataFrame, size: int, path: str) -> None:
+    """Writes the blocks as folders row=R/col=C of parquet."""
+    grid_blocks(edges, size).repartition("row", "col").write.partitionBy("row", "col").parquet(path)
+
+
+def fetch_blocks(spark: SparkSession, path: str, rows: list[int], cols: list[int] | None = None) -> DataFrame:
+    """edges of the blocks in given rows (and columns); only their folders are read."""
+    found = spark.read.schema("src long, dst long, row int, col int").parquet(path).where(F.col("row").isin(rows))
+    return (found if cols is None else found.where(F.col("col").isin(cols))).select("src", "dst")
+
+
+def edge_label_frequency(edges: DataFrame) -> DataFrame:
+    """(elabel, freq) of undirected edges (src, dst, elabel)."""
+    return edges.where("src < dst").groupBy("elabel").agg(F.count("*").alias("freq"))
+
+
 def row_offsets(edges: DataFrame) -> DataFrame:
     """(id, offset, degree): where a vertex's neighbours start in an edge list by ascending src; an exclusive prefix sum.
 

@@ -61,6 +61,48 @@ def candidates(edges: DataFrame, vertices: DataFrame, pattern: Pattern, refine:
     return out
 
 
+def matched_candidates(edges: DataFrame, vertices: DataFrame, pattern: Pattern, rounds: int = 2) -> DataFrame:
+    """(qv, v): local candidates whose neighbours can be dealt out to the query vertex's neighbours, each to a different one.
+
+    By Hall's theorem that is so if any set of those neighbours has at least as many
+    candidates around v; neighbours of v are counted by the set of query vertices they may be.
+    """
+    cand = storage.materialize(_local(edges, vertices, pattern), "candidates")
+    for _ in range(rounds):
+        may = cand.groupBy(F.col("v").alias("dst")).agg(F.expr("bit_or(shiftleft(1, qv))").alias("mask"))
+        around = storage.materialize(edges.join(may, "dst").groupBy(F.col("src").alias("v"), "mask").agg(F.count("*").alias("n")), "around")
+        kept = None
+        for q in range(pattern.n):
+            near = pattern.neighbours(q)
+            sets = [[w for i, w in enumerate(near) if pick >> i & 1] for pick in range(1, 1 << len(near))]
+            enough = [F.sum(F.when(F.col("mask").bitwiseAND(sum(1 << w for w in some)) != 0, F.col("n")).otherwise(0)) >= len(some) for some in sets]
+            test = enough[0]
+            for t in enough[1:]:
+                test = test & t
+            fit = around.groupBy("v").agg(test.alias("fit")).where("fit").select("v")
+            rows = cand.where(F.col("qv") == q).join(fit, "v", "left_semi").select("qv", "v")
+            kept = rows if kept is None else kept.union(rows)
+        cand = storage.materialize(kept, "candidates")
+    return cand
+
+
+def coloured_matches(edges: DataFrame, vertices: DataFrame, pattern: Pattern) -> DataFrame:
+    """v0 .. v(n-1) of every map of a pattern whose labels all differ, by joins of labelled edges alone, without candidates."""
+    if not pattern.labels or len(set(pattern.labels)) != pattern.n:
+        raise ValueError("labels that all differ are needed")
+    at_src = edges.join(vertices.select(F.col("id").alias("src"), F.col("vlabel").alias("ls")), "src")
+    both = storage.materialize(at_src.join(vertices.select(F.col("id").alias("dst"), F.col("vlabel").alias("ld")), "dst").where(F.col("ls").isin(list(pattern.labels)) & F.col("ld").isin(list(pattern.labels))), "coloured")
+    between = lambda a, b: both.where((F.col("ls") == pattern.labels[a]) & (F.col("ld") == pattern.labels[b])).select(F.col("src").alias(f"v{a}"), F.col("dst").alias(f"v{b}"))
+    order = pattern.matching_order()
+    rows = None
+    for i, q in enumerate(order[1:], 1):
+        back = [w for w in order[:i] if pattern.has(q, w)]
+        rows = between(back[0], q) if rows is None else rows.join(between(back[0], q), f"v{back[0]}")
+        for w in back[1:]:
+            rows = rows.join(between(w, q), [f"v{w}", f"v{q}"], "left_semi")
+    return rows.select(*[f"v{j}" for j in range(pattern.n)])
+
+
 def labelled_matches(edges: DataFrame, vertices: DataFrame, pattern: Pattern, limit: int | None = None) -> DataFrame:
     """v0 .. v(n-1) of every map; at most limit of them, if given."""
     cand = storage.materialize(candidates(edges, vertices, pattern), "candidates")

@@ -9,12 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph import storage
 from weftgraph.operators.graph import adjacency, orient
 
 
+#: Oriented edges up to which all neighbour arrays are broadcast (8 bytes an edge); beyond it they are dealt out by their vertex.
+BROADCAST_EDGES = 4_000_000
+
+
 def _levels(edges: DataFrame, k: int) -> DataFrame:
     """(v0 .. v(k-2), cand): partial cliques with the array of vertices that complete them."""
-    adj = adjacency(orient(edges))
+    dag = storage.materialize(orient(edges), "dag")
+    adj = adjacency(dag)
+    if dag.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES:  # all arrays together, so their size is bounded
+        adj = F.broadcast(storage.materialize(adj, "adjacency"))
     out = adj.select(F.col("id").alias("v0"), F.col("nbrs").alias("cand")).where(F.size("cand") >= k - 1)
     for i in range(1, k - 1):
         nexts = adj.select(F.col("id").alias(f"v{i}"), "nbrs")
