@@ -124,7 +124,22 @@ _add("clique4_list", lambda s, d, g=graphs.trail: triangles.clique_list(g(s, d),
 # counts in closed form, and listings by the matcher
 for _name in counting.SHAPES:
     _add(f"sub_{_name}", lambda s, d, n=_name, g=graphs.trail: _one(s, counting.count(g(s, d), n)), oracle.count_sql(NAMED[_name]))
-    _add(f"list_{_name}", lambda s, d, n=_name, g=graphs.trail: matcher.listing(g(s, d), NAMED[n]), oracle.list_sql(NAMED[_name]))
+    if _name not in ("5path", "6path"):
+        _add(f"list_{_name}", lambda s, d, n=_name, g=graphs.trail: matcher.listing(g(s, d), NAMED[n]), oracle.list_sql(NAMED[_name]))
+
+
+def _path_ends(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """(id, n): of the listing, which is long, how many paths end at each vertex."""
+    p = NAMED[name]
+    ends = F.array(*[F.col(f"v{i}") for i in range(p.n) if p.degree(i) == 1])
+    return matcher.listing(graphs.trail(spark, sf_dir), p).select(F.explode(ends).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+
+
+for _name in ("5path", "6path"):
+    _p = NAMED[_name]
+    _sql = " UNION ALL ".join(f"SELECT v{i} AS id FROM m" for i in range(_p.n) if _p.degree(i) == 1)
+    _bounds = _p.symmetry_bounds(_p.matching_order())
+    _add(f"list_{_name}_ends", lambda s, d, n=_name: _path_ends(s, d, n), with_graph_sql(f", m AS MATERIALIZED ({oracle.maps_sql(_p, _bounds)}) SELECT id, count(*)::BIGINT AS n FROM ({_sql}) GROUP BY id"))
 for _name in ("5path", "6path", "dumbbell", "pentagon", "house"):
     _add(f"match_count_{_name}", lambda s, d, n=_name, g=graphs.trail: matcher.counting(g(s, d), NAMED[n]), oracle.count_sql(NAMED[_name]))
 for _name in ("rectangle", "diamond", "pentagon", "house"):
