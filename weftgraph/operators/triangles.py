@@ -20,10 +20,12 @@ BROADCAST_EDGES = 4_000_000
 def _levels(edges: DataFrame, k: int) -> DataFrame:
     """(v0 .. v(k-2), cand): partial cliques with the array of vertices that complete them."""
     dag = storage.materialize(orient(edges), "dag")
-    adj = adjacency(dag)
+    first = adj = adjacency(dag)
     if dag.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES:  # all arrays together, so their size is bounded
-        adj = F.broadcast(storage.materialize(adj, "adjacency"))
-    out = adj.select(F.col("id").alias("v0"), F.col("nbrs").alias("cand")).where(F.size("cand") >= k - 1)
+        arrays = storage.materialize(adj, "adjacency")
+        adj = F.broadcast(arrays)
+        first = arrays.repartition(4 * edges.sparkSession.sparkContext.defaultParallelism)  # a small table would be read by few tasks
+    out = first.select(F.col("id").alias("v0"), F.col("nbrs").alias("cand")).where(F.size("cand") >= k - 1)
     for i in range(1, k - 1):
         nexts = adj.select(F.col("id").alias(f"v{i}"), "nbrs")
         opened = out.select(*[f"v{j}" for j in range(i)], "cand", F.explode("cand").alias(f"v{i}"))
