@@ -545,9 +545,30 @@ def test_compaction(spark, docs, rows, none, monkeypatch):
         compaction.commit(folder, first, [])
     assert not [n for n in os.listdir(folder.removeprefix("file://")) if n.endswith(".part")]
     assert json.load(open(f"{folder.removeprefix('file://')}/v{last['version']:08d}.json"))["version"] == last["version"]
+    whole = [r for _ in range(5) for r in docs.collect()]
+    assert same(compaction.read(spark, folder).drop("shard_").collect(), whole)  # all columns; shard is one of the documents'
     empty = storage.new_path(spark, "c")
     compaction.append(none, empty)
-    assert compaction.read(spark, empty).count() == 0
+    assert compaction.read(spark, empty).count() == 0 and compaction.read(spark, empty).columns[:-1] == none.columns
+
+
+def test_compaction_of_unlike_columns(spark):
+    folder = storage.new_path(spark, "c")
+    plain = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id int, text string")
+    more = spark.createDataFrame([(2, "b", [1, None], "x")], "doc_id long, Text string, tags array<int>, `a.b` string")
+    late = spark.createDataFrame([(3, None, [2])], "doc_id long, text string, TAGS array<int>")
+    for rows in (plain, more, late, plain):
+        compaction.append(rows, folder)
+    want = [(1, "a", None, None), (1, "a", None, None), (None, None, None, None)] * 2 + [(2, "b", [1, None], "x"), (3, None, [2], None)]
+    assert compaction.read(spark, folder).columns == ["doc_id", "text", "tags", "a.b", "shard"]
+    assert same(compaction.read(spark, folder).drop("shard").collect(), want)
+    before = compaction.manifest(folder)
+    merged = compaction.compact(spark, folder)
+    assert len(merged["files"]) < len(before["files"]) and merged["fields"] == before["fields"]
+    assert same(compaction.read(spark, folder).drop("shard").collect(), want)
+    with pytest.raises(ValueError):
+        compaction.append(spark.createDataFrame([(4, "c", "z")], "doc_id long, text string, tags string"), folder)
+    assert compaction.manifest(folder) == merged
 
 
 def test_tiers():

@@ -1,10 +1,10 @@
 """Size-tiered compaction of arriving documents into versioned shards.
 
-An arrival is appended as small immutable shards: parquet files that its tasks write next
-to each other, none of them ever changed. Compaction looks at the manifest alone: files
+An arrival is appended as small immutable shards: parquet files of all its columns that
+its tasks write next to each other, none of them ever changed. Compaction looks at the manifest alone: files
 of about one size (a tier is a power of FANOUT of their bytes) are merged, in the order of
 their names, into files of the target size as soon as a tier holds FANOUT of them. Each
-version is a manifest, a list of files, that is written under a temporary name and put in
+version is a manifest, a list of columns and files, that is written under a temporary name and put in
 its place by one rename that fails if the version exists; readers take the last version,
 so they see all of a change or nothing.
 """
@@ -19,9 +19,10 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from weftgraph import storage
-from weftgraph.llm import store
+from weftgraph.llm import names, store
 
 #: Bytes of the files that merges aim at, of the smallest tier, and the files of a tier that make a merge.
 TARGET_BYTES, LEAST_BYTES, FANOUT = 64_000_000, 64_000, 4
@@ -47,18 +48,18 @@ def versions(folder: str) -> list[int]:
 
 
 def manifest(folder: str, version: int | None = None) -> dict:
-    """A version's manifest, the last one by default: version and files (name, rows, bytes)."""
+    """A version's manifest, the last one by default: version, fields (columns, as in a schema's JSON) and files (name, rows, bytes)."""
     if version is None:
         known = versions(folder)
         if not known:
-            return {"version": 0, "files": []}
+            return {"version": 0, "fields": [], "files": []}
         version = known[-1]
     return json.loads(bytes(store.array(f"{folder}/v{version:08d}.json", "u1")))
 
 
-def commit(folder: str, base: dict, files: list[dict]) -> dict:
-    """Writes the version after base; raises Conflict if there is one already."""
-    new = {"version": base["version"] + 1, "files": sorted(files, key=lambda f: f["name"])}
+def commit(folder: str, base: dict, files: list[dict], fields: list[dict] | None = None) -> dict:
+    """Writes the version after base, with base's columns by default; raises Conflict if there is one already."""
+    new = {"version": base["version"] + 1, "fields": base["fields"] if fields is None else fields, "files": sorted(files, key=lambda f: f["name"])}
     name = f"{folder}/v{new['version']:08d}.json"
     path = store.local_path(name)
     if path is None:
@@ -91,12 +92,28 @@ def _write(folder: str, table: pa.Table) -> dict:
     return {"name": name, "rows": table.num_rows, "bytes": data.size}
 
 
+def merged_fields(known: list[dict], docs: DataFrame) -> list[dict]:
+    """The known columns and those that docs has beside them, by names without regard to case; ValueError if a type differs."""
+    of = {f["name"].lower(): f for f in known}
+    for field in docs.schema.fields:
+        old = of.setdefault(field.name.lower(), StructField(field.name, field.dataType).jsonValue())
+        if StructField.fromJson(old).dataType.simpleString() != field.dataType.simpleString():
+            raise ValueError(f"the column {field.name} has another type in the store")
+    return list(of.values())
+
+
 def append(docs: DataFrame, folder: str) -> dict:
-    """Appends docs (doc_id, text; others are not read) as small shards, and commits; the new manifest."""
+    """Appends docs (doc_id, text and any others) with all their columns as small shards, and commits; the new manifest.
+
+    A column that other arrivals lack is null in their rows. Nulls, repeated rows and rows
+    without a doc_id are kept as they are, and an empty table adds a version without files.
+    A column whose type differs from the store's raises ValueError, and nothing is committed.
+    """
 
     def write(batches):
         held, size = [], 0
         for batch in batches:
+            batch = batch.rename_columns(own)
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 held.append(part)
@@ -107,10 +124,14 @@ def append(docs: DataFrame, folder: str) -> dict:
         if held and any(b.num_rows for b in held):
             yield pa.RecordBatch.from_pylist([_write(folder, pa.Table.from_batches(held))])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = [r.asDict() for r in rows.mapInArrow(write, _MADE).collect()]  # a line for each file; a task that ran twice leaves a file that no manifest names
+    casts = {"doc_id": "long", "text": "string"}
+    docs = docs.withColumns({name: F.col(name).cast(kind) for name, kind in casts.items()})
+    known = {f["name"].lower(): f["name"] for f in merged_fields(manifest(folder)["fields"], docs)}
+    own = [known[c.lower()] for c in docs.columns]
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(own))])  # workers take no names with dots
+    made = [r.asDict() for r in numbered.mapInArrow(write, _MADE).collect()]  # a line for each file; a task that ran twice leaves a file that no manifest names
     base = manifest(folder)
-    return commit(folder, base, base["files"] + made)
+    return commit(folder, base, base["files"] + made, merged_fields(base["fields"], docs))
 
 
 def tier(size: int) -> int:
@@ -149,8 +170,8 @@ def compact(spark: SparkSession, folder: str, target: int = TARGET_BYTES) -> dic
 
         def merge(batches):
             for batch in batches:
-                for names in batch.column(0).to_pylist():
-                    yield pa.RecordBatch.from_pylist([_write(folder, pa.concat_tables([store.read_table(f"{folder}/{n}") for n in names]))])
+                for group in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_pylist([_write(folder, pa.concat_tables([store.read_table(f"{folder}/{n}") for n in group], promote_options="default"))])
 
         work = spark.createDataFrame([([f["name"] for f in g],) for g in groups], "names array<string>").repartition(len(groups))
         made = [r.asDict() for r in work.mapInArrow(merge, _MADE).collect()]
@@ -160,21 +181,21 @@ def compact(spark: SparkSession, folder: str, target: int = TARGET_BYTES) -> dic
 
 
 def read(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
-    """The documents of a version: doc_id, text, shard (the name of its file)."""
-    files = manifest(folder, version)["files"]
-    schema = "doc_id long, text string"
-    rows = spark.read.schema(schema).parquet(*[f"{folder}/{f['name']}" for f in files]) if files else spark.createDataFrame([], schema)
-    return rows.withColumn("shard", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    """The documents of a version: their columns, and shard (the name of their file; shard_ and so on if shard is one of theirs)."""
+    now = manifest(folder, version)
+    schema = StructType.fromJson({"type": "struct", "fields": now["fields"]}) if now["fields"] else "doc_id long, text string"
+    rows = spark.read.schema(schema).parquet(*[f"{folder}/{f['name']}" for f in now["files"]]) if now["files"] else spark.createDataFrame([], schema)
+    return rows.withColumn(names.free("shard", rows.columns), F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
 def op6_compaction(spark, sf_dir: str) -> DataFrame:
-    """All documents arrive in four batches, are compacted, and are read from the last version: doc_id, n_chars, text_md5 (null for null)."""
+    """All documents arrive in four batches, are compacted, and are read from the last version: doc_id, n_chars, text_md5 (null for null), lang, source."""
     folder = storage.new_path(spark, "compaction")
     docs = storage.table(spark, sf_dir, "documents")
     for k in range(4):
         append(docs.where(F.coalesce(F.pmod(F.col("doc_id"), F.lit(4)), F.lit(0)) == k), folder)
         compact(spark, folder)
-    return read(spark, folder).select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return read(spark, folder).select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", "source")
 
 
-ORACLE = "SELECT doc_id, length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM documents"
+ORACLE = "SELECT doc_id, length(text)::BIGINT AS n_chars, md5(text) AS text_md5, lang, source FROM documents"
