@@ -446,6 +446,35 @@ def test_language_model(docs, rows, none):
     assert lm.language_scores(none).count() == 0
 
 
+def test_held_out_scores(spark):
+    """The model beats the counts on texts it hasn't seen, and how rows are partitioned hardly matters."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    few, many = ({r["doc_id"]: r for r in lm.language_scores(documents.repartition(n)).collect() if r["held_out"]} for n in (2, 16))
+    tokens = sum(r["n_tokens"] for r in few.values())
+    for got in (few, many):
+        assert sum(r["score"] - r["base_score"] for r in got.values()) > 0.2 * tokens
+    assert sum(abs(r["score"] - many[d]["score"]) for d, r in few.items()) < 0.05 * tokens
+
+
+def test_long_words_are_modelled(spark):
+    """A frequent word over LONGEST bytes has a place in the vocabulary, by its digest."""
+    long = "Ω" * lm.LONGEST
+    documents = spark.createDataFrame([(i, f"a {long} b {long}") for i in range(40)], "doc_id long, text string")
+    counts = lm.word_counts(documents).cache()
+    voc = lm.vocabulary(counts)
+    assert len(voc.words) == 4 and max(map(len, voc.words)) == 65
+    ids, _, _, _ = voc.ids(pa.array([f"{long} zz"]))
+    assert voc.counts[ids[0]] == 80 and ids[1] == len(voc.words)
+
+
+def test_classes_of_the_first_words():
+    """Every one of the first words is in one class, which are at most the root of their number, by Zipf's counts and by equal ones."""
+    for counts in ([200_000 // (i + 1) for i in range(lm.DYNAMIC)], [3] * lm.DYNAMIC):
+        voc = lm.Vocabulary([f"w{i}" for i in range(lm.DYNAMIC)], counts, sum(counts), lm.DYNAMIC)
+        assert voc.ends[0] == 0 and voc.ends[-1] == lm.DYNAMIC and (np.diff(voc.ends) > 0).all()
+        assert len(voc.ends) - 1 <= lm.DYNAMIC**0.5 + 1
+
+
 def test_model_is_a_distribution_and_learns():
     words_ = [lm.END] + [f"w{i}" for i in range(60)]
     voc = lm.Vocabulary(words_, [100 - i for i in range(61)], 8000, 200)
@@ -493,7 +522,7 @@ def test_gradients():
         return total / 12
 
     trainer.window(x, y, fresh, np.zeros((3, lm.HIDDEN), np.float32))
-    for name, at in (("wh", (1, 5)), ("wx", (2, 20)), ("b", (30,)), ("wc", (3, 1)), ("bc", (0,)), ("wo", (0, 2, 4)), ("bo", (0, 3))):
+    for name, at in (("wh", (1, 5)), ("wx", (2, 20)), ("b", (30,)), ("wc", (3, 1)), ("bc", (0,)), ("wo", (4, 2)), ("bo", (3,))):
         old, step = model.w[name][at], 1e-2
         model.w[name][at] = old + step
         up = loss()

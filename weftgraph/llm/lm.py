@@ -1,16 +1,21 @@
 """A gated recurrent language model with a class-factored output, trained and run in numpy.
 
 Words come in three tiers by their counts in all training documents. The first DYNAMIC
-words lie in classes of CLASS words, and both the class and the word in it depend on the
-state; the rest of the first HEAD words lie in classes of about equal mass, where the
-state gives the class and the counts give the word; all others are one class, in which a
-word's probability comes from its count (a half is added, so that words never seen have
-one too). So the probabilities of all words sum to one.
+words lie in classes, and both the class and the word in it depend on the state; a class has
+about sqrt(N / c) words, where c is the count of its first one, which makes the least work
+of classes and of words in them (and at most sqrt(DYNAMIC) classes). The rest of the first
+HEAD words lie in classes of about equal mass, where the state gives the class and the counts
+give the word; all others are one class, in which a word's probability comes from its count
+(a half is added, so that words never seen have one too). So the probabilities of all words
+sum to one. Words seen once are among the others, where they teach the state when a word
+that was never seen comes.
 
 Training is by truncated backpropagation: each task runs Adam over its documents' windows
 of STEPS steps, the state goes on from window to window, and the weights of all tasks are
 averaged after each of ROUNDS rounds, over one part of the training documents each; every
-training document is in one of them. Scoring runs every document from its first word to
+training document is in one of them. Adam's moments are averaged and go on with the weights,
+and a task has at least some TASK tokens, so that scores hardly depend on how the rows are
+partitioned. Scoring runs every document from its first word to
 its end with one state.
 
 Counts beyond the first HEAD words are never broadcast: their words are summed through a
@@ -19,6 +24,7 @@ join.
 
 from __future__ import annotations
 
+import hashlib
 import io
 
 import numpy as np
@@ -30,18 +36,26 @@ from pyspark.sql import functions as F
 from weftgraph import storage
 from weftgraph.llm import memory, shingles
 
-HEAD, INPUTS, DYNAMIC, CLASS, BINS = 131_072, 4096, 1024, 32, 12
-HIDDEN, LANES, STEPS, ROUNDS, RATE = 12, 512, 10, 4, 0.03
+HEAD, INPUTS, DYNAMIC, BINS = 131_072, 8192, 8192, 12
+HIDDEN, LANES, STEPS, ROUNDS, RATE, TASK = 12, 512, 10, 4, 0.03, 1_000_000
 #: Bytes of texts that a worker handles at a time.
 PART = 10_000_000
-#: Bytes of the longest word that may be one of the first HEAD, so that their size is bounded.
+#: Bytes of the longest word that the vocabulary holds as it is; a longer one is held by its digest, so that its size is bounded.
 LONGEST = 64
 #: Logits are kept under this, so that their exponentials stay finite.
-_MOST, _ONES = np.float32(80), np.ones(CLASS, np.float32)
+_MOST = np.float32(80)
 #: Stands for a document's end among words; white space is in no word.
 END = "\n"
 
 
+def short(words: pa.Array) -> pa.Array:
+    """The words, and for those of over LONGEST bytes a tab and their digest; white space is in no word."""
+    long = pc.greater(pc.binary_length(words), LONGEST)
+    if not pc.any(long).as_py():
+        return words
+    return pc.replace_with_mask(words, long, pa.array(["\t" + hashlib.sha256(w.encode()).hexdigest() for w in words.filter(long).to_pylist()], words.type))
+
+
 class Vocabulary:
     """What a worker needs of the counts: the first words, and totals of all."""
 
@@ -50,13 +64,18 @@ class Vocabulary:
         self.total, self.distinct = total, distinct
         n = len(words)
         self.dynamic = min(n, DYNAMIC)
-        kinds = -(-self.dynamic // CLASS)
+        ends = [0]
+        while ends[-1] < self.dynamic:
+            ends.append(min(self.dynamic, ends[-1] + max(1, round((total / counts[ends[-1]]) ** 0.5))))
+        #: class k of the first words has the ids from ends[k] to ends[k + 1]
+        self.ends = np.array(ends, np.int64)
+        kinds = len(ends) - 1
         mass = np.cumsum(self.counts[self.dynamic :])
         bins = np.minimum((mass - self.counts[self.dynamic :]) * BINS // max(1, mass[-1] if len(mass) else 1), BINS - 1)
         _, bins = np.unique(bins, return_inverse=True) if len(bins) else (None, bins.astype(np.int64))
         self.classes = kinds + (int(bins.max()) + 1 if len(bins) else 0) + 1
         #: class of each word id; the id n stands for all other words
-        self.class_of = np.concatenate([np.arange(self.dynamic) // CLASS, kinds + bins, [self.classes - 1]]).astype(np.int64)
+        self.class_of = np.concatenate([np.repeat(np.arange(kinds), np.diff(self.ends)), kinds + bins, [self.classes - 1]]).astype(np.int64)
         per_class = np.bincount(self.class_of[:n], weights=self.counts, minlength=self.classes)
         #: log10 probability in its class of a word whose class gives it by count; 0 for the others
         self.static = np.zeros(n + 1)
@@ -76,7 +95,7 @@ class Vocabulary:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         """(id of each token with each text's end, offsets, distinct words, word code of each token or -1 for an end)."""
         words, codes, offsets = shingles.coded_words(texts)
-        of = pc.fill_null(pc.index_in(words, value_set=pa.array(self.words, pa.string())), len(self.words)).to_numpy().astype(np.int64)
+        of = pc.fill_null(pc.index_in(short(words), value_set=pa.array(self.words, pa.string())), len(self.words)).to_numpy().astype(np.int64)
         n = len(offsets) - 1
         ids = np.insert(of[codes] if len(codes) else codes.astype(np.int64), offsets[1:], self.end)
         codes = np.insert(codes, offsets[1:], -1)
@@ -88,19 +107,16 @@ class Model:
 
     def __init__(self, voc: Vocabulary, blob: bytes | None = None):
         self.voc = voc
-        kinds = -(-voc.dynamic // CLASS)
         if blob is not None:
             self.w = dict(np.load(io.BytesIO(blob)))
             return
         rng = np.random.default_rng(7)
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        word_bias = np.full((kinds, CLASS), -30.0, np.float32)
-        if voc.dynamic:
-            word_bias.ravel()[: voc.dynamic] = np.log(voc.counts[: voc.dynamic] / voc.class_mass[voc.class_of[: voc.dynamic]])
+        first = slice(0, voc.dynamic)
         self.w = {
             "embed": small(voc.inputs, HIDDEN), "wx": small(HIDDEN, 3 * HIDDEN), "wh": small(HIDDEN, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN, np.float32),
             "wc": small(HIDDEN, voc.classes), "bc": np.log(voc.class_mass / voc.class_mass.sum()).astype(np.float32),
-            "wo": small(kinds, HIDDEN, CLASS), "bo": word_bias,
+            "wo": small(voc.dynamic, HIDDEN), "bo": np.log(voc.counts[first] / voc.class_mass[voc.class_of[first]]).astype(np.float32),
         }
 
     def blob(self) -> bytes:
@@ -108,14 +124,14 @@ class Model:
         np.savez(out, **self.w)
         return out.getvalue()
 
-    def _by_class(self, ids: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """Positions of the tokens of each dynamic class."""
-        kinds = self.w["wo"].shape[0]
+    def _by_class(self, ids: np.ndarray) -> list[tuple[slice, np.ndarray]]:
+        """The ids of each class of the first words that has a token, and its tokens' positions."""
+        kinds = len(self.voc.ends) - 1
         at = np.flatnonzero(ids < self.voc.dynamic)
         c = self.voc.class_of[ids[at]]
         at = at[np.argsort(c.astype(np.uint16), kind="stable")]
         ends = np.concatenate([[0], np.cumsum(np.bincount(c, minlength=kinds))])
-        return [(k, at[ends[k] : ends[k + 1]]) for k in range(kinds) if ends[k] < ends[k + 1]]
+        return [(slice(self.voc.ends[k], self.voc.ends[k + 1]), at[ends[k] : ends[k + 1]]) for k in range(kinds) if ends[k] < ends[k + 1]]
 
     def log10(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """log10 probability of each token given its state; of the class alone for a token outside the first words."""
@@ -124,9 +140,9 @@ class Model:
         out = logits[np.arange(len(ids)), self.voc.class_of[ids]].astype(np.float64)
         out -= np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32))
         for k, at in self._by_class(ids):
-            own = np.minimum(h[at] @ w["wo"][k] + w["bo"][k], _MOST)
-            chosen = own[np.arange(len(at)), ids[at] % CLASS]
-            out[at] += chosen - np.log(np.exp(own, out=own) @ _ONES)
+            own = np.minimum(h[at] @ w["wo"][k].T + w["bo"][k], _MOST)
+            chosen = own[np.arange(len(at)), ids[at] - k.start]
+            out[at] += chosen - np.log(np.exp(own, out=own) @ np.ones(own.shape[1], np.float32))
         return out / np.log(10) + self.voc.static[ids]
 
     def score(self, ids: np.ndarray, offsets: np.ndarray, together: int = 32_768) -> np.ndarray:
@@ -171,10 +187,21 @@ class Model:
 class Trainer:
     """Adam over windows of many lanes."""
 
-    def __init__(self, model: Model, rate: float = RATE):
-        self.model, self.rate, self.t = model, rate, 0
+    def __init__(self, model: Model, rate: float = RATE, state: bytes | None = None):
+        self.model, self.rate, self.t = model, rate, 0.0
         self.m = {k: np.zeros_like(v) for k, v in model.w.items()}
         self.v = {k: np.zeros_like(v) for k, v in model.w.items()}
+        if state is not None:
+            got = np.load(io.BytesIO(state))
+            self.t = float(got["t"])
+            for k in model.w:
+                model.w[k], self.m[k], self.v[k] = got["w_" + k], got["m_" + k], got["v_" + k]
+
+    def state(self) -> bytes:
+        """Weights, moments and steps, to go on from."""
+        out = io.BytesIO()
+        np.savez(out, t=np.float32(self.t), **{f"{a}_{k}": x for a, d in (("w", self.model.w), ("m", self.m), ("v", self.v)) for k, x in d.items()})
+        return out.getvalue()
 
     def _adam(self, name: str, grad: np.ndarray, rows=slice(None)) -> None:
         m, v, w = self.m[name], self.v[name], self.model.w[name]
@@ -214,11 +241,11 @@ class Trainer:
         grads = {"wc": out.T @ p, "bc": p.sum(axis=0), "wo": np.zeros_like(w["wo"]), "bo": np.zeros_like(w["bo"])}
         for k, at in self.model._by_class(ids):
             ho = out[at]
-            q = np.exp(np.minimum(ho @ w["wo"][k] + w["bo"][k], _MOST))
-            q *= (np.float32(1) / (q @ _ONES) / size)[:, None]
-            q[np.arange(len(at)), ids[at] % CLASS] -= np.float32(1) / size
-            grads["wo"][k], grads["bo"][k] = ho.T @ q, q.sum(axis=0)
-            d_out[at] += q @ w["wo"][k].T
+            q = np.exp(np.minimum(ho @ w["wo"][k].T + w["bo"][k], _MOST))
+            q *= (np.float32(1) / (q @ np.ones(q.shape[1], np.float32)) / size)[:, None]
+            q[np.arange(len(at)), ids[at] - k.start] -= np.float32(1) / size
+            grads["wo"][k], grads["bo"][k] = q.T @ ho, q.sum(axis=0)
+            d_out[at] += q @ w["wo"][k]
         d_out = d_out.reshape(steps, lanes, H)
         dg, dx = np.empty((steps, lanes, 3 * H), np.float32), np.empty((steps, lanes, 3 * H), np.float32)
         dh = np.zeros((lanes, H), np.float32)
@@ -286,7 +313,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The vocabulary of a materialized table of counts; the first words are at most HEAD, and occur more than once."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    may = counts.where((F.octet_length("word") <= LONGEST) & (F.col("c") > 1)).withColumn("bin", F.floor(F.log2("c") * 16).cast("int"))
+    held = F.when(F.octet_length("word") <= LONGEST, F.col("word")).otherwise(F.concat(F.lit("\t"), F.sha2(F.col("word").cast("binary"), 256)))
+    may = counts.where("c > 1").select(held.alias("word"), "c", F.floor(F.log2("c") * 16).cast("int").alias("bin"))
     # the least count that at most HEAD words reach, by bins of a sixteenth of an octave: a thousand rows at most
     least, size = 1 << 30, 0
     for r in sorted(may.groupBy("bin").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["bin"]):
@@ -302,7 +330,7 @@ def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
     """The model after one pass over docs (doc_id, text), in as many parts as rounds."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(voc)
-    model = Model(voc)
+    state = Trainer(Model(voc)).state()
 
     def merge(batches):
         total, size = None, 0
@@ -318,28 +346,29 @@ def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
 
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
     for k in range(rounds):
-        now = spark.sparkContext.broadcast(model.blob())
+        now = spark.sparkContext.broadcast(state)
 
         @memory.lean
         def fit(batches, now=now):
             own, seen = None, 0
             for texts in (x for batch in batches for x in shingles.slices(batch.column(0), PART)):
                 if own is None:
-                    own = Trainer(Model(shared.value, now.value))
+                    own = Trainer(Model(shared.value), state=now.value)
                 ids, offsets, _, _ = shared.value.ids(texts)
                 own.run(ids, offsets)
                 seen += len(ids)
             if seen:
-                yield pa.RecordBatch.from_pydict({"weights": [own.model.blob()], "tokens": [seen]})
+                yield pa.RecordBatch.from_pydict({"weights": [own.state()], "tokens": [seen]})
 
         schema = "weights binary, tokens long"
-        fitted = docs.where(part == k).select(F.col("text").cast("string")).mapInArrow(fit, schema)
+        fitted = docs.where(part == k).select(F.col("text").cast("string")).coalesce(max(1, voc.total // TASK)).mapInArrow(fit, schema)
         merged = fitted.repartition(16).mapInArrow(merge, schema).collect()  # 16 rows at most
         got = list(merge([pa.RecordBatch.from_pydict({"weights": [bytes(r["weights"]) for r in merged], "tokens": [r["tokens"] for r in merged]}, schema=pa.schema([("weights", pa.binary()), ("tokens", pa.int64())]))]))
         if got:
-            model = Model(voc, got[0].column(0)[0].as_py())
-        now.unpersist()
-    return model
+            state = got[0].column(0)[0].as_py()
+        now.destroy()
+    shared.destroy()
+    return Trainer(Model(voc), state=state).model
 
 
 def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
@@ -380,6 +409,8 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
     made = storage.materialize(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_other long, head_log double, model_log double, word string, times long"), "scored")
+    shared.destroy()
+    weights.destroy()
     rare = made.where("word IS NOT NULL").select("row", "word", "times").join(counts, "word", "left")
     rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("rare_log"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))
     out = made.where("word IS NULL").drop("word", "times").join(rare, "row", "left")
