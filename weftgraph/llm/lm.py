@@ -38,8 +38,8 @@ from weftgraph.llm import memory, shingles
 
 HEAD, INPUTS, DYNAMIC, BINS = 131_072, 8192, 8192, 12
 HIDDEN, LANES, STEPS, ROUNDS, RATE, TASK = 12, 512, 10, 4, 0.03, 1_000_000
-#: Bytes of texts that a worker handles at a time.
-PART = 10_000_000
+#: Bytes of texts that a worker handles at a time, and tasks whose weights are averaged in one task of the next level.
+PART, FAN = 10_000_000, 16
 #: Bytes of the longest word that the vocabulary holds as it is; a longer one is held by its digest, so that its size is bounded.
 LONGEST = 64
 #: Logits are kept under this, so that their exponentials stay finite.
@@ -333,6 +333,8 @@ def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
     state = Trainer(Model(voc)).state()
 
     def merge(batches):
+        from pyspark import TaskContext
+
         total, size = None, 0
         for batch in batches:
             for blob, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -342,14 +344,17 @@ def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
         if size:
             out = io.BytesIO()
             np.savez(out, **{k: (v / size).astype(np.float32) for k, v in total.items()})
-            yield pa.RecordBatch.from_pydict({"weights": [out.getvalue()], "tokens": [size]})
+            yield pa.RecordBatch.from_pydict({"node": [TaskContext.get().partitionId()], "weights": [out.getvalue()], "tokens": [size]})
 
+    tasks = min(docs.rdd.getNumPartitions(), max(1, voc.total // TASK))
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
     for k in range(rounds):
         now = spark.sparkContext.broadcast(state)
 
         @memory.lean
         def fit(batches, now=now):
+            from pyspark import TaskContext
+
             own, seen = None, 0
             for texts in (x for batch in batches for x in shingles.slices(batch.column(0), PART)):
                 if own is None:
@@ -358,14 +363,16 @@ def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
                 own.run(ids, offsets)
                 seen += len(ids)
             if seen:
-                yield pa.RecordBatch.from_pydict({"weights": [own.state()], "tokens": [seen]})
-
-        schema = "weights binary, tokens long"
-        fitted = docs.where(part == k).select(F.col("text").cast("string")).coalesce(max(1, voc.total // TASK)).mapInArrow(fit, schema)
-        merged = fitted.repartition(16).mapInArrow(merge, schema).collect()  # 16 rows at most
-        got = list(merge([pa.RecordBatch.from_pydict({"weights": [bytes(r["weights"]) for r in merged], "tokens": [r["tokens"] for r in merged]}, schema=pa.schema([("weights", pa.binary()), ("tokens", pa.int64())]))]))
+                yield pa.RecordBatch.from_pydict({"node": [TaskContext.get().partitionId()], "weights": [own.state()], "tokens": [seen]})
+
+        schema = "node int, weights binary, tokens long"
+        fitted, n = docs.where(part == k).select(F.col("text").cast("string")).coalesce(tasks).mapInArrow(fit, schema), tasks
+        while n > 1:  # a tree, so that no task and not the driver gets the weights of all
+            n = -(-n // FAN)
+            fitted = fitted.repartition(n, "node").mapInArrow(merge, schema)
+        got = fitted.select("weights").collect()  # one row, or none
         if got:
-            state = got[0].column(0)[0].as_py()
+            state = bytes(got[0]["weights"])
         now.destroy()
     shared.destroy()
     return Trainer(Model(voc), state=state).model
