@@ -365,7 +365,7 @@ def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
             if seen:
                 yield pa.RecordBatch.from_pydict({"node": [TaskContext.get().partitionId()], "weights": [own.state()], "tokens": [seen]})
 
-        schema = "node int, weights binary, tokens long"
+        schema = "node long, weights binary, tokens long"
         fitted, n = docs.where(part == k).select(F.col("text").cast("string")).coalesce(tasks).mapInArrow(fit, schema), tasks
         while n > 1:  # a tree, so that no task and not the driver gets the weights of all
             n = -(-n // FAN)
