@@ -456,6 +456,15 @@ def test_held_out_scores(spark):
     assert sum(abs(r["score"] - many[d]["score"]) for d, r in few.items()) < 0.05 * tokens
 
 
+def test_weights_of_many_tasks(spark, monkeypatch):
+    """Tasks' weights are averaged in a tree of more than one level, and what comes out has learnt."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(9)
+    monkeypatch.setattr(lm, "TASK", 10_000)
+    monkeypatch.setattr(lm, "FAN", 2)
+    got = [r for r in lm.language_scores(documents).collect() if r["held_out"]]
+    assert sum(r["score"] - r["base_score"] for r in got) > 0.1 * sum(r["n_tokens"] for r in got)
+
+
 def test_long_words_are_modelled(spark):
     """A frequent word over LONGEST bytes has a place in the vocabulary, by its digest."""
     long = "Ω" * lm.LONGEST

@@ -337,7 +337,7 @@ def train(docs: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> Model:
 
         total, size = None, 0
         for batch in batches:
-            for blob, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for blob, n in zip(batch.column("weights").to_pylist(), batch.column("tokens").to_pylist()):
                 w = {k: v.astype(np.float64) * n for k, v in np.load(io.BytesIO(blob)).items()}
                 total = w if total is None else {k: total[k] + w[k] for k in w}
                 size += n
