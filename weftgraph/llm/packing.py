@@ -28,6 +28,8 @@ WINDOW = 1024
 END_ID = 0
 #: Documents of a shard, on average, and ids that are packed together; a part of so many is held in a task's memory.
 SHARD_DOCS, PART_IDS = 1200, 4_000_000
+#: Bytes of ids whose terms are counted together.
+TOGETHER_BYTES = 4_000_000
 #: Terms of a query, neighbours that it returns at first, and BM25's constants.
 QUERY_TERMS, NEIGHBOURS = 10, 16
 K1, B = 1.2, 0.75
@@ -45,13 +47,34 @@ class Statistics:
     def norm(self, lengths) -> np.ndarray:
         return np.asarray(K1 * (1 - B + B * lengths / self.mean)).astype(np.float32)
 
-    def first_terms(self, doc: np.ndarray) -> tuple[int, int]:
-        """The document's two terms of most weight among those that others have; -1 where there is none."""
-        term, tf = np.unique(doc, return_counts=True)
-        weight = np.where(self.df[term] > 1, self.idf[term] * tf * np.float32(K1 + 1) / (tf + self.norm(len(doc))), 0)
-        best = np.lexsort((term, -weight))[:2]
-        found = [int(t) if w > 0 else -1 for t, w in zip(term[best], weight[best])]
-        return (*found, -1, -1)[:2]
+    def first_terms(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+        """Each document's two terms of most weight among those that others have; -1 where there is none. Entries are by document and term; none is empty."""
+        weight = np.where(self.df[term] > 1, self.idf[term] * tf * np.float32(K1 + 1) / (tf + self.norm(lengths)[doc]), 0)
+        start, out = np.searchsorted(doc, np.arange(len(lengths))), []
+        for _ in range(2):
+            most = np.maximum.reduceat(weight, start)
+            best = np.flatnonzero(weight == most[doc])
+            best = best[np.searchsorted(doc[best], np.arange(len(lengths)))]  # of equal weights the least term
+            out.append(np.where(most > 0, term[best], -1))
+            weight[best] = 0
+        return out
+
+
+def counted_terms(kind: str, ids: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, its count) of documents' ids with the end id, by document and term, and the documents' lengths."""
+    n, width = len(ids), np.dtype(kind).itemsize
+    _, ends, data = ids.buffers()
+    ends = np.frombuffer(ends, "<i4")[ids.offset : ids.offset + n + 1].astype(np.int64)
+    flat = np.frombuffer(data or b"", kind, (ends[-1] - ends[0]) // width, ends[0])
+    lengths = np.diff(ends) // width
+    doc = np.arange(n)
+    small = width == 2 and n <= 1 << 16 and end_id < 1 << 16
+    whole, bits = (np.uint32, 16) if small else (np.uint64, 32)
+    keys = np.concatenate([np.repeat(doc.astype(whole), lengths) << whole(bits) | flat.astype(whole), doc.astype(whole) << whole(bits) | whole(end_id)])
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
+    tf, keys = np.diff(first, append=len(keys)), keys[first]
+    return (keys >> whole(bits)).astype(np.int64), (keys & whole((1 << bits) - 1)).astype(np.int64), tf, lengths + 1
 
 
 class Index:
@@ -190,23 +213,32 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     def terms(kind, ids):
         return np.append(np.frombuffer(ids, kind).astype("<u4"), np.uint32(end_id))
 
+    def together(kinds, ids):
+        """Slices of documents whose terms are counted together; a tokenizer's ids are all of one kind."""
+        at = 0
+        for some in shingles.slices(ids, TOGETHER_BYTES):
+            yield kinds[at].as_py(), some
+            at += len(some)
+
     @memory.lean
     def count(batches):
         df, n, length = np.zeros(max(len(tokens.encoder(tokenizer).opens), end_id + 1), np.int64), 0, 0
         for batch in batches:
-            for kind, ids in zip(*(batch.column(i).to_pylist() for i in range(2))):
-                doc = terms(kind, ids)
-                df[np.unique(doc)] += 1
-                n, length = n + 1, length + len(doc)
+            for kind, ids in together(batch.column(0), batch.column(1)):
+                _, term, _, lengths = counted_terms(kind, ids, end_id)
+                df += np.bincount(term, minlength=len(df))
+                n, length = n + len(ids), length + int(lengths.sum())
         there = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"term": [-1, -2, *there.tolist()], "c": [n, length, *df[there].tolist()]})
 
     @memory.lean
     def key(batches):
         for batch in batches:
-            first = [shared.value.first_terms(terms(kind, ids)) for kind, ids in zip(*(batch.column(i).to_pylist() for i in (1, 2)))]
-            one, two = (pa.array([f[i] for f in first], pa.int32()) for i in range(2))
-            yield pa.RecordBatch.from_arrays([*batch.columns, one, two], ["doc_id", "kind", "ids", "spot", "one", "two"])
+            at = 0
+            for kind, ids in together(batch.column(1), batch.column(2)):
+                one, two = (pa.array(x, pa.int32()) for x in shared.value.first_terms(*counted_terms(kind, ids, end_id)))
+                yield pa.RecordBatch.from_arrays([*[c.slice(at, len(ids)) for c in batch.columns], one, two], ["doc_id", "kind", "ids", "spot", "one", "two"])
+                at += len(ids)
 
     @memory.lean
     def pack_shards(batches):
