@@ -53,6 +53,16 @@ def test_word_cache_starts_anew(monkeypatch):
     assert enc.ids(some) == [b if t else b"" for t, b in zip(some, enc.whole(some))]
 
 
+def test_words_are_held_without_stops():
+    """op1_pack: a word was learnt again for each stop after it."""
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    stops = [*tokens.STOPS, "...", "?!", ").", "%%%", "'", ",'", "','"]
+    some = [" ".join(f"{w}{x}" for x in ["", *stops] for w in ("Wort", "déjà", "漢字")) + "\nWort, and\ndéjà!\nWort"] + [w + x for w in ("Wort", "first", "x1", "don't", "(") for x in stops]
+    assert enc.ids(some) == enc.whole(some)
+    held = tokens.listed(enc.words)
+    assert len(held) == len(set(held)) and {w for w in held if w.startswith("Wort")} == {"Wort", "Wort'", "Wort,'", "Wort','"}
+
+
 def test_token_files(spark, docs, rows, none):
     folder = storage.new_path(spark, "t")
     got = binary.read_token_files(binary.write_token_files(docs, folder, tokens.tokenizer_path()), folder).collect()
