@@ -575,6 +575,48 @@ def test_gradients():
     assert math.isclose(grad[0, 1], (up - loss()) / 2e-2, rel_tol=0.05, abs_tol=2e-4)
 
 
+@pytest.mark.parametrize("most", [0.0, 200.0])
+def test_scores_by_feature(most):
+    """op7_gru_scores: logits were bounded by a pass over them all, though the weights tell if one can be too large."""
+    words_ = [lm.END] + [f"w{i}" for i in range(40)]
+    voc = lm.Vocabulary(words_, [90 - i for i in range(41)], 5000, 100)
+    rng = np.random.default_rng(2)
+    ids, offsets, _, _ = voc.ids(pa.array([" ".join(f"w{x}" for x in rng.integers(0, 45, n)) for n in (3, 0, 60, 1, 17, 60)]))
+    model = lm.Model(voc)
+    model.w["bc"][0] += most
+    model.w["bo"][7] += most
+    assert model.outputs(1)[2:] == ((most > 80,) * 2)
+    w, H, bounded = {k: v.astype(np.float64) for k, v in model.w.items()}, lm.HIDDEN, lambda x: np.minimum(x, 80)
+    want = []
+    for a, b in zip(offsets, offsets[1:]):
+        h, last, total = np.zeros(H), voc.end, 0.0
+        for i in ids[a:b]:
+            x, g = w["embed"][voc.input_of[last]] @ w["wx"] + w["b"], h @ w["wh"]
+            z, r = np.split(1 / (1 + np.exp(-(x[: 2 * H] + g[: 2 * H]))), 2)
+            n = np.tanh(x[2 * H :] + r * g[2 * H :])
+            h, last, c = n + z * (h - n), i, voc.class_of[i]
+            logits = bounded(h @ w["wc"] + w["bc"])
+            total += voc.static[i] + (logits[c] - np.log(np.exp(logits).sum())) / math.log(10)
+            if i < voc.dynamic:
+                own = bounded(w["wo"] @ h + w["bo"])[voc.ends[c] : voc.ends[c + 1]]
+                total += (own[i - voc.ends[c]] - np.log(np.exp(own).sum())) / math.log(10)
+        want.append(total)
+    for together in (1, 7, 32_768):
+        assert np.allclose(model.score(ids, offsets, together), want, rtol=1e-5)
+    # a window of many lanes has the mean of the gradients of its parts, though it is worked through in pieces
+    x, y, fresh, h = rng.integers(0, 42, (4, 600)), rng.integers(0, 42, (4, 600)), rng.random((4, 600)) < 0.1, rng.uniform(-1, 1, (600, H)).astype(np.float32)
+    got = []
+    for lanes in (slice(0, 600), slice(0, 300), slice(300, 600)):
+        trainer, seen = lm.Trainer(model), {}
+        trainer._adam = lambda name, grad, rows=slice(None), seen=seen: seen.update({name: np.array(grad)})
+        seen["h"] = trainer.window(x[:, lanes], y[:, lanes], fresh[:, lanes], h[lanes])
+        got.append(seen)
+    whole, left, right = got
+    assert np.array_equal(whole["h"], np.concatenate([left["h"], right["h"]]))
+    for name in ("wc", "bc", "wo", "bo", "wh", "wx", "b"):
+        assert np.allclose(whole[name], (left[name] + right[name]) / 2, atol=1e-6), name
+
+
 # archives
 
 

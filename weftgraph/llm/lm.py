@@ -18,6 +18,10 @@ and a task has at least some TASK tokens, so that scores hardly depend on how th
 partitioned. Scoring runs every document from its first word to
 its end with one state.
 
+In windows and in scoring, states and gates are held by feature, a column for each token at
+work, so that numpy's loops are long. Logits are bounded in a pass of their own only where
+the weights don't rule out that one is too large.
+
 Counts beyond the first HEAD words are never broadcast: their words are summed through a
 join.
 """
@@ -124,61 +128,99 @@ class Model:
         np.savez(out, **self.w)
         return out.getvalue()
 
-    def _by_class(self, ids: np.ndarray) -> list[tuple[slice, np.ndarray]]:
-        """The ids of each class of the first words that has a token, and its tokens' positions."""
+    def _by_class(self, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+        """The positions of tokens that are first words, by class, and for each class that has one its words and its part of these positions."""
         kinds = len(self.voc.ends) - 1
         at = np.flatnonzero(ids < self.voc.dynamic)
         c = self.voc.class_of[ids[at]]
         at = at[np.argsort(c.astype(np.uint16), kind="stable")]
-        ends = np.concatenate([[0], np.cumsum(np.bincount(c, minlength=kinds))])
-        return [(slice(self.voc.ends[k], self.voc.ends[k + 1]), at[ends[k] : ends[k + 1]]) for k in range(kinds) if ends[k] < ends[k + 1]]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(c, minlength=kinds))]).tolist()
+        words = self.voc.ends.tolist()
+        return at, [(slice(words[k], words[k + 1]), slice(ends[k], ends[k + 1])) for k in range(kinds) if ends[k] < ends[k + 1]]
+
+    def outputs(self, reach: float) -> tuple[np.ndarray, np.ndarray, bool, bool]:
+        """Weights of classes and of words with their biases as the last column, and whether logits of states up to reach can pass _MOST, for each."""
+        w = self.w
+        both = [np.concatenate([w["wc"].T, w["bc"][:, None]], axis=1), np.concatenate([w["wo"], w["bo"][:, None]], axis=1)]
+        return *both, *(not (np.abs(x[:, :-1]).sum(axis=1) * np.float32(reach) + x[:, -1]).max(initial=0) <= _MOST for x in both)
 
     def log10(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """log10 probability of each token given its state; of the class alone for a token outside the first words."""
-        w = self.w
-        logits = np.minimum(h @ w["wc"] + w["bc"], _MOST)
-        out = logits[np.arange(len(ids)), self.voc.class_of[ids]].astype(np.float64)
-        out -= np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32))
-        for k, at in self._by_class(ids):
-            own = np.minimum(h[at] @ w["wo"][k].T + w["bo"][k], _MOST)
-            chosen = own[np.arange(len(at)), ids[at] - k.start]
-            out[at] += chosen - np.log(np.exp(own, out=own) @ np.ones(own.shape[1], np.float32))
+        return self._log10(np.concatenate([h.T, np.ones((1, len(h)), np.float32)]), ids, self.outputs(np.abs(h).max(initial=0)))
+
+    def _log10(self, states: np.ndarray, ids: np.ndarray, outputs: tuple, together: int = 4096) -> np.ndarray:
+        """log10 for states as columns that end with a one."""
+        by_class, by_word, clip_class, clip_word = outputs
+        n, classes = len(ids), self.voc.class_of[ids]
+        count, ones = np.arange(n), np.ones(max(by_class.shape[0], int(np.diff(self.voc.ends).max(initial=0))), np.float32)
+        out, total = np.empty(n, np.float32), np.empty(n, np.float32)
+        for a in range(0, n, together):
+            k = slice(a, a + together)
+            logits = by_class @ states[:, k]
+            if clip_class:
+                np.minimum(logits, _MOST, out=logits)
+            out[k] = logits[classes[k], count[: logits.shape[1]]]
+            total[k] = ones[: len(logits)] @ np.exp(logits, out=logits)
+        out = out - np.log(total).astype(np.float64)
+        at, parts = self._by_class(ids)
+        held, words = states[:, at], ids[at]
+        chosen, total = np.empty(len(at), np.float32), np.empty(len(at), np.float32)
+        for k, own in parts:
+            logits = by_word[k] @ held[:, own]
+            if clip_word:
+                np.minimum(logits, _MOST, out=logits)
+            chosen[own] = logits[words[own] - k.start, count[: logits.shape[1]]]
+            total[own] = ones[: len(logits)] @ np.exp(logits, out=logits)
+        out[at] += chosen - np.log(total)
         return out / np.log(10) + self.voc.static[ids]
 
     def score(self, ids: np.ndarray, offsets: np.ndarray, together: int = 32_768) -> np.ndarray:
         """log10 probability of each document; the state is carried through all of it."""
-        w, n = self.w, len(offsets) - 1
-        rows = w["embed"] @ w["wx"] + w["b"]
+        w, n, H = self.w, len(offsets) - 1, HIDDEN
+        # half of what the gates get, as their tanh needs; states, gates and weights are held by feature
+        half = np.float32(0.5)
+        scale = np.repeat(np.array([half, 1], np.float32), [2 * H, H])[:, None]
+        rows, wh = np.ascontiguousarray((w["embed"] @ w["wx"] + w["b"]).T) * scale, np.ascontiguousarray(w["wh"].T) * scale
+        outputs = self.outputs(1)
+        # tokens by step, and in a step by document, those of most tokens first
         lengths = np.diff(offsets)
         order = np.argsort(-lengths, kind="stable")
-        start, lengths = offsets[:-1][order], lengths[order]
-        h, last = np.zeros((n, HIDDEN), np.float32), np.full(n, self.voc.end)
-        total = np.zeros(n)
-        states, tokens, whose, held = [], [], [], 0
-        half, t = np.float32(0.5), 0
-        active = n
-        while active:
-            active = int(np.searchsorted(-lengths, -t, side="left"))  # documents with more than t tokens come first
-            if active:
-                x = rows[self.voc.input_of[last[:active]]]
-                g = h[:active] @ w["wh"]
-                zr = np.tanh(half * (x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])) * half + half
-                new = np.tanh(x[:, 2 * HIDDEN :] + zr[:, HIDDEN:] * g[:, 2 * HIDDEN :])
-                new += zr[:, :HIDDEN] * (h[:active] - new)
-                h = new
-                last = ids[start[:active] + t]
-                states.append(new)
-                tokens.append(last)
-                whose.append(active)
-                held += active
-                t += 1
-            if held and (held >= together or not active):
-                got = self.log10(np.concatenate(states), np.concatenate(tokens))
-                at = 0
-                for k in whose:
-                    total[:k] += got[at : at + k]
-                    at += k
-                states, tokens, whose, held = [], [], [], 0
+        lengths = lengths[order]
+        active = n - np.cumsum(np.bincount(lengths, minlength=1))[:-1]  # documents with more than t tokens
+        begins = np.cumsum(active) - active
+        doc = np.repeat(np.arange(n), lengths)
+        step = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        place = begins[step] + doc
+        tokens, whose = np.empty(len(doc), ids.dtype), np.empty(len(doc), np.int32)
+        tokens[place], whose[place] = ids[np.repeat(offsets[:-1][order], lengths) + step], doc
+        del doc, step, place
+        inputs = self.voc.input_of[tokens]
+        total, last = np.zeros(n), np.full(n, self.voc.input_of[self.voc.end])
+        states = np.ones((H + 1, together + n), np.float32)
+        h, held, done = np.zeros((H, n), np.float32), 0, 0
+        for begin, k in zip(begins.tolist(), active.tolist()):
+            x = rows.take(last[:k], axis=1)
+            h = h[:, :k]
+            g = wh @ h
+            zr, new = x[: 2 * H], x[2 * H :]
+            zr += g[: 2 * H]
+            np.tanh(zr, out=zr)
+            zr *= half
+            zr += half
+            g = g[2 * H :]
+            g *= zr[H:]
+            new += g
+            np.tanh(new, out=new)
+            h = h - new
+            h *= zr[:H]
+            h += new
+            states[:H, held : held + k] = h
+            held += k
+            last = inputs[begin : begin + k]
+            if held >= together or done + held == len(tokens):
+                own = slice(done, done + held)
+                total += np.bincount(whose[own], weights=self._log10(states[:, :held], tokens[own], outputs), minlength=n)
+                done, held = done + held, 0
         out = np.empty(n)
         out[order] = total
         return out
@@ -204,72 +246,112 @@ class Trainer:
         return out.getvalue()
 
     def _adam(self, name: str, grad: np.ndarray, rows=slice(None)) -> None:
-        m, v, w = self.m[name], self.v[name], self.model.w[name]
-        m[rows] = 0.9 * m[rows] + 0.1 * grad
-        v[rows] = 0.99 * v[rows] + 0.01 * grad * grad
-        scale = self.rate * (1 - 0.99**self.t) ** 0.5 / (1 - 0.9**self.t)
-        w[rows] -= (scale * m[rows] / (np.sqrt(v[rows]) + 1e-6)).astype(np.float32)
+        m, v = self.m[name][rows], self.v[name][rows]
+        m *= 0.9
+        m += 0.1 * grad
+        v *= 0.99
+        square = grad * grad
+        square *= 0.01
+        v += square
+        root = np.sqrt(v, out=square)
+        root += 1e-6
+        move = np.divide(m, root, out=root)
+        move *= self.rate * (1 - 0.99**self.t) ** 0.5 / (1 - 0.9**self.t)
+        self.model.w[name][rows] -= move
+        if not isinstance(rows, slice):  # m and v are copies
+            self.m[name][rows], self.v[name][rows] = m, v
 
     def window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """One step on a window: x, y and fresh (the state starts anew) are steps x lanes; returns the state to go on with."""
+        """One step on a window: x, y and fresh (the state starts anew) are steps x lanes; returns the state (lanes x HIDDEN) to go on with."""
         w, voc = self.model.w, self.model.voc
         steps, lanes = x.shape
+        H, half, n = HIDDEN, np.float32(0.5), steps * lanes
         rows = voc.input_of[x.ravel()]
-        emb = w["embed"][rows]
-        xw = (emb @ w["wx"] + w["b"]).reshape(steps, lanes, 3 * HIDDEN)
-        H, half = HIDDEN, np.float32(0.5)
-        prev, gates, cand, gn, made = [], [], [], [], []
+        # all is held by feature: a column is a lane's at a step
+        emb = np.ascontiguousarray(w["embed"][rows].T)
+        gates = w["wx"].T @ emb
+        gates += w["b"][:, None]
+        go_on = (~fresh).astype(np.float32)
+        prev, gn, made = np.empty((H, n), np.float32), np.empty((H, n), np.float32), np.ones((H + 1, n), np.float32)
+        h, wh_t = h.T, np.ascontiguousarray(w["wh"].T)
         for t in range(steps):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            g = h @ w["wh"]
-            zr = np.tanh(half * (xw[t, :, : 2 * H] + g[:, : 2 * H])) * half + half
-            n = np.tanh(xw[t, :, 2 * H :] + zr[:, H:] * g[:, 2 * H :])
-            prev.append(h)
-            gates.append(zr)
-            cand.append(n)
-            gn.append(g[:, 2 * H :])
-            h = n + zr[:, :H] * (h - n)
-            made.append(h)
-        prev_all = np.concatenate(prev)
-        out = np.concatenate(made)
-        ids = y.ravel()
-        size = np.float32(len(ids))
-        p = np.exp(np.minimum(out @ w["wc"] + w["bc"], _MOST))
-        p *= (np.float32(1) / (p @ np.ones(p.shape[1], np.float32)) / size)[:, None]
-        p[np.arange(len(ids)), voc.class_of[ids]] -= np.float32(1) / size
-        d_out = p @ w["wc"].T
-        grads = {"wc": out.T @ p, "bc": p.sum(axis=0), "wo": np.zeros_like(w["wo"]), "bo": np.zeros_like(w["bo"])}
-        for k, at in self.model._by_class(ids):
-            ho = out[at]
-            q = np.exp(np.minimum(ho @ w["wo"][k].T + w["bo"][k], _MOST))
-            q *= (np.float32(1) / (q @ np.ones(q.shape[1], np.float32)) / size)[:, None]
-            q[np.arange(len(at)), ids[at] - k.start] -= np.float32(1) / size
-            grads["wo"][k], grads["bo"][k] = q.T @ ho, q.sum(axis=0)
-            d_out[at] += q @ w["wo"][k]
-        d_out = d_out.reshape(steps, lanes, H)
-        dg, dx = np.empty((steps, lanes, 3 * H), np.float32), np.empty((steps, lanes, 3 * H), np.float32)
-        dh = np.zeros((lanes, H), np.float32)
-        wh_t = np.ascontiguousarray(w["wh"].T)
+            at = slice(t * lanes, (t + 1) * lanes)
+            h = np.multiply(h, go_on[t], out=prev[:, at])
+            g = wh_t @ h
+            zr, cand = gates[: 2 * H, at], gates[2 * H :, at]
+            zr += g[: 2 * H]
+            zr *= half
+            np.tanh(zr, out=zr)
+            zr *= half
+            zr += half
+            gn[:, at] = g[2 * H :]
+            cand += zr[H:] * g[2 * H :]
+            np.tanh(cand, out=cand)
+            now = made[:H, at]
+            np.subtract(h, cand, out=now)
+            now *= zr[:H]
+            now += cand
+            h = now
+        ids, part = y.ravel(), np.float32(1 / n)
+        by_class, by_word, clip_class, clip_word = self.model.outputs(np.abs(made).max())
+        count, ones = np.arange(n), np.ones(max(len(by_class), int(np.diff(voc.ends).max(initial=0))), np.float32)
+        classes = voc.class_of[ids]
+        d_out, d_class = np.empty((H, n), np.float32), np.zeros(by_class.shape, np.float32)
+        for a in range(0, n, 1024):
+            k = slice(a, a + 1024)
+            p = by_class @ made[:, k]
+            if clip_class:
+                np.minimum(p, _MOST, out=p)
+            np.exp(p, out=p)
+            p *= 1 / (ones[: len(p)] @ p)
+            p[classes[k], count[: p.shape[1]]] -= 1
+            d_out[:, k] = w["wc"] @ p
+            d_class += p @ made[:, k].T
+        d_class *= part
+        d_word = np.zeros(by_word.shape, np.float32)
+        at, parts = self.model._by_class(ids)
+        held, words, d_held = made[:, at], ids[at], np.empty((H, len(at)), np.float32)
+        for k, own in parts:
+            ho = held[:, own]
+            q = by_word[k] @ ho
+            if clip_word:
+                np.minimum(q, _MOST, out=q)
+            np.exp(q, out=q)
+            q *= 1 / (ones[: len(q)] @ q)
+            q[words[own] - k.start, count[: q.shape[1]]] -= 1
+            d_word[k] = q @ ho.T
+            d_held[:, own] = w["wo"][k].T @ q
+        d_word *= part
+        d_out[:, at] += d_held
+        d_out *= part
+        dg, dx = np.empty((3 * H, n), np.float32), np.empty((3 * H, n), np.float32)
+        # what the gates' slopes take from the state's, for all steps at once
+        z, r, cand = gates[:H], gates[H : 2 * H], gates[2 * H :]
+        to_z, to_n, to_r = (prev - cand) * z * (1 - z), (1 - z) * (1 - cand * cand), gn * r * (1 - r)
+        dh = np.zeros((H, lanes), np.float32)
         for t in reversed(range(steps)):
-            dh = dh + d_out[t]
-            z, r, n = gates[t][:, :H], gates[t][:, H:], cand[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dg[t, :, :H] = dh * (prev[t] - n) * z * (1 - z)
-            dg[t, :, H : 2 * H] = dn * gn[t] * r * (1 - r)
-            dg[t, :, 2 * H :] = dn * r
-            dx[t, :, : 2 * H] = dg[t, :, : 2 * H]
-            dx[t, :, 2 * H :] = dn
-            dh = np.where(fresh[t][:, None], np.float32(0), dh * z + dg[t] @ wh_t)
-        dg, dx = dg.reshape(-1, 3 * H), dx.reshape(-1, 3 * H)
-        grads |= {"wh": prev_all.T @ dg, "wx": emb.T @ dx, "b": dx.sum(axis=0)}
-        d_emb = dx @ w["wx"].T
+            at = slice(t * lanes, (t + 1) * lanes)
+            dh += d_out[:, at]
+            np.multiply(dh, to_z[:, at], out=dx[:H, at])
+            dn = np.multiply(dh, to_n[:, at], out=dx[2 * H :, at])
+            np.multiply(dn, to_r[:, at], out=dx[H : 2 * H, at])
+            dg[: 2 * H, at] = dx[: 2 * H, at]
+            np.multiply(dn, r[:, at], out=dg[2 * H :, at])
+            dh *= z[:, at]
+            dh += w["wh"] @ dg[:, at]
+            dh *= go_on[t]
+        grads = {
+            "wc": d_class[:, :H].T, "bc": d_class[:, H], "wo": d_word[:, :H], "bo": d_word[:, H],
+            "wh": prev @ dg.T, "wx": emb @ dx.T, "b": dx.sum(axis=1),
+        }
+        d_emb = dx.T @ w["wx"].T
         self.t += 1
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16) if voc.inputs <= 1 << 16 else rows, kind="stable")
         firsts = np.flatnonzero(np.diff(rows[order], prepend=-1))
         self._adam("embed", np.add.reduceat(d_emb[order], firsts), rows[order][firsts])
         for name, grad in grads.items():
             self._adam(name, grad)
-        return h
+        return h.T
 
     def run(self, ids: np.ndarray, offsets: np.ndarray, lanes: int = LANES, steps: int = STEPS) -> None:
         """One pass over documents, laid end to end over the lanes; none is left out."""
